@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmill.llm import near_duplicates as nd
+from litmill.llm import survivors as sv
 from litmill.session import table
 
 # ---- problem 1: near-duplicate papers; shingles of three words, half or more in common (as the data's statement defines)
@@ -27,5 +28,27 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("id", "paper_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+# ---- problem 4: surviving values of rows with one work_id
+P4_FIELDS = ["canonical_title", "canonical_abstract"]
+#: A merged row outvotes any number and any recency of others, and a later row any earlier ones: the limits in which
+#: trust comes before recency and recency before number, as the data's statement asks.
+P4_MERGED_LOG2, P4_HALF_LIFE_US = 2.0**42, 1000.0
+
+
+def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    papers = table(spark, d, "papers")
+    merged = F.when(F.lower(F.trim("merge_status")) == "merged", P4_MERGED_LOG2).otherwise(0.0)
+    return papers, sv.survivors(papers, "work_id", "paper_id", P4_FIELDS[:1], P4_FIELDS[1:], merged, "updated_at", P4_HALF_LIFE_US)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d)[1].select(F.col("grp").alias("work_id"), F.col("field").alias("field_name"), F.col("id").alias("paper_id"))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    papers, won = _p4(spark, d)
+    return sv.surviving_records(papers, won, "paper_id", P4_FIELDS).withColumnRenamed("grp", "work_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_records": p4_records}
 SQL: dict[str, str] = {}
