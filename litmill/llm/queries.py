@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litmill.llm import mixing, packing
 from litmill.llm import near_duplicates as nd
 from litmill.llm import survivors as sv
-from litmill.session import table
+from litmill.llm.tokens import tokenised
+from litmill.session import settle, table
 
 # ---- problem 1: near-duplicate papers; shingles of three words, half or more in common (as the data's statement defines)
 P1_SHINGLE, P1_THRESHOLD, P1_MIN_WORDS = 3, 0.5, 40
@@ -50,5 +52,49 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return sv.surviving_records(papers, won, "paper_id", P4_FIELDS).withColumnRenamed("grp", "work_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_records": p4_records}
+# ---- problem 6: containers filled with neighbouring texts
+def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+    # A fixed table: one row per kind of container.
+    kinds = [(r[0], r[1]) for r in table(spark, d, "container_sizes").select("container_kind", "capacity_tokens").collect()]
+    return tokenised(table(spark, d, "documents"), "doc_id", "text"), kinds
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes, kinds = _p6(spark, d)
+    out = packing.packed(sizes, kinds)
+    return out.withColumnsRenamed({"id": "doc_id", "start": "start_token", "size": "n_tokens"})
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    sizes, kinds = _p6(spark, d)
+    capacity = F.coalesce(*[F.when(F.col("container_kind") == k, F.lit(c)) for k, c in kinds], F.lit(None))
+    used = packing.packed(sizes, kinds).groupBy("container_kind", "container_id").agg(F.sum("size").alias("used"))
+    return used.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens")).withColumn(
+        "fill", F.round(F.col("tokens") / (F.col("containers") * capacity), 4)
+    )
+
+
+# ---- problem 7: sources mixed to target weights
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    docs = table(spark, d, "documents").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    sizes = settle(tokenised(docs, "doc_id", "text", "source").select("id", "source", "n_tokens"))
+    return mixing.mixture(sizes, targets), targets
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached_shares(*_p7(spark, d))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_groups": p1_groups,
+    "p4_found": p4_found, "p4_records": p4_records,
+    "p6_packed": p6_packed, "p6_fill": p6_fill,
+    "p7_mix": p7_mix, "p7_shares": p7_shares,
+}
 SQL: dict[str, str] = {}
