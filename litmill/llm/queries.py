@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litmill.llm import mixing, packing
 from litmill.llm import near_duplicates as nd
+from litmill.llm import residue as rs
 from litmill.llm import survivors as sv
 from litmill.llm.tokens import tokenised
 from litmill.session import settle, table
@@ -91,10 +92,30 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(*_p7(spark, d))
 
 
+# ---- problem 8: texts without content
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    return rs.residue(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d).where("is_residue").select(F.col("id").alias("doc_id"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus without them, by id; the ids to keep are joined back so that texts are read once more, not shuffled."""
+    kept = _p8(spark, d).where("not is_residue").select(F.col("id").alias("doc_id"))
+    return table(spark, d, "documents").select("doc_id", "source", "section", "lang", "n_chars").join(kept, "doc_id", "left_semi")
+
+
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    return rs.validation(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
     "p4_found": p4_found, "p4_records": p4_records,
     "p6_packed": p6_packed, "p6_fill": p6_fill,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_clean": p8_clean, "p8_validation": p8_validation,
 }
 SQL: dict[str, str] = {}
