@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmill.llm import mixing, packing
+from litmill.llm import name_variants as nv
 from litmill.llm import near_duplicates as nd
 from litmill.llm import residue as rs
 from litmill.llm import survivors as sv
@@ -111,8 +112,25 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return rs.validation(table(spark, d, "documents"), "doc_id", "text", "source")
 
 
+# ---- problem 3: spellings of people and organisations
+def _p3(spark: SparkSession, d: str) -> DataFrame:
+    return nv.entities(nv.distinct_names(table(spark, d, "paper_author_affiliation"), table(spark, d, "citation_records")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return nv.variant_pairs(_p3(spark, d))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with its entity's most frequent spelling."""
+    named = _p3(spark, d)
+    best = named.groupBy("kind", "entity").agg(F.max_by("name", F.struct("n", "name")).alias("preferred"), F.count("*").alias("spellings"))
+    return named.join(best, ["kind", "entity"]).select(F.col("kind").alias("entity_kind"), "name", "n", "preferred", "spellings")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
+    "p3_found": p3_found, "p3_entities": p3_entities,
     "p4_found": p4_found, "p4_records": p4_records,
     "p6_packed": p6_packed, "p6_fill": p6_fill,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
