@@ -151,7 +151,9 @@ def weak_label(text: Column) -> Column:
     shows = text.rlike(STATUS)
     sentences = F.size(F.split(text, r"[.!?。！？\n]+\s*"))
     short, long_ = sentences <= 9, sentences >= 6
-    return F.when(short & shows & (F.length(text) <= 1500), 1).when((long_ | (sentences == 1)) & ~shows & (F.length(text) <= SAMPLE_CHARS), 0)
+    # Lengths come first, so that the pattern runs over texts that can be chosen only.
+    n = F.length(text)
+    return F.when((n <= 1500) & short & shows, 1).when((n <= SAMPLE_CHARS) & (long_ | (sentences == 1)) & ~shows, 0)
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> pd.DataFrame:
