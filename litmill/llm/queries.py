@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litmill.llm import entity_match as em
 from litmill.llm import mixing, packing
 from litmill.llm import name_variants as nv
 from litmill.llm import near_duplicates as nd
@@ -129,8 +130,23 @@ def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     return named.join(best, ["kind", "entity"]).select(F.col("kind").alias("entity_kind"), "name", "n", "preferred", "spellings")
 
 
+# ---- problem 2: citation records matched to papers
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    works = em.work_rows(table(spark, d, "papers"), table(spark, d, "paper_sources"), table(spark, d, "paper_author_affiliation"))
+    return em.matches(em.record_rows(table(spark, d, "citation_records")), works)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("record_id", F.col("work_id").cast("int").alias("paper_id"))
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("record_id", F.col("work_id").cast("int").alias("paper_id"), "confidence")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
+    "p2_found": p2_found, "p2_matches": p2_matches,
     "p3_found": p3_found, "p3_entities": p3_entities,
     "p4_found": p4_found, "p4_records": p4_records,
     "p6_packed": p6_packed, "p6_fill": p6_fill,
