@@ -137,7 +137,8 @@ def _exact(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("_sh").alias("xa")), "a").join(sets.select(F.col("_id").alias("b"), F.col("_sh").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     sim = common / (F.size("xa") + F.size("xb") - common)
-    return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    # Repeated ids repeat pairs; the few links are made distinct, not the many sets.
+    return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
 
 
 def near_duplicates(df: DataFrame, id_col: str, text: Column, shingle_words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -150,13 +151,13 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, shingle_words: int
     ``text`` are not read.
     """
     rows = spread(df).select(F.col(id_col).alias("_id"), words_of(text).alias("_w")).where(F.size("_w") > 0)
-    keyed = rows.select("_id", F.xxhash64(F.concat_ws(" ", "_w")).alias("_h"), F.md5(F.concat_ws(" ", "_w")).alias("_k"))
-    reps = keyed.groupBy("_k", "_h").agg(F.min("_id").alias("rep"))
-    members = settle(keyed.dropDuplicates(["_id"]).join(reps, ["_k", "_h"]).select(F.col("_id").alias("id"), "rep"))
+    keyed = settle(rows.select("_id", F.md5(F.concat_ws(" ", "_w")).alias("_k")).dropDuplicates(["_id"]))
+    reps = keyed.groupBy("_k").agg(F.min("_id").alias("rep"))
+    members = settle(keyed.join(reps, "_k").select(F.col("_id").alias("id"), "rep"))
     texts = rows.join(members.where("id = rep").select(F.col("id").alias("_id")), "_id", "left_semi")
     sets = texts.select("_id", shingles_of(F.col("_w"), shingle_words).alias("_sh"))
     kind = dict(df.dtypes)[id_col]
-    signed = settle(sets.mapInPandas(_sign, f"_id {kind}, _sh array<bigint>, _sig array<bigint>, _bands array<bigint>").dropDuplicates(["_id"]))
+    signed = settle(sets.mapInPandas(_sign, f"_id {kind}, _sh array<bigint>, _sig array<bigint>, _bands array<bigint>"))
     pairs = _candidates(signed, max(threshold - MARGIN, 0.05))
     return _exact(pairs, signed.select("_id", "_sh"), threshold), members
 
