@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from litmill.session import settle, spread
 
-#: Labelled texts of either kind used for fitting, and the longest text among them (characters).
-SAMPLE_TEXTS, SAMPLE_CHARS = 4000, 6000
+#: Texts (chosen by hash of the id) that may be labelled for fitting, how many of either label are used, and their greatest length (characters).
+SAMPLE_ROWS, SAMPLE_TEXTS, SAMPLE_CHARS = 40_000, 4000, 6000
 #: Share of the sources held out for validation.
 HELD_OUT = 5
 DIM = 1 << 16
@@ -158,7 +158,9 @@ def weak_label(text: Column) -> Column:
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> pd.DataFrame:
     """The bounded labelled sample (host, label, text), chosen by hash of the id over all rows."""
-    labels = docs.select(F.col(id_col).alias("id"), weak_label(F.col(text_col)).alias("label"), F.xxhash64(id_col, F.lit(11)).alias("o"))
+    drawn = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(11)).alias("o"))
+    edge = drawn.orderBy("o").limit(SAMPLE_ROWS).agg(F.max("o")).first()[0]
+    labels = docs.where(F.xxhash64(id_col, F.lit(11)) <= F.lit(edge)).select(F.col(id_col).alias("id"), weak_label(F.col(text_col)).alias("label"), F.xxhash64(id_col, F.lit(11)).alias("o"))
     labels = settle(labels.where("label is not null"))
     parts = [labels.where(F.col("label") == k).orderBy("o", "id").limit(SAMPLE_TEXTS) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]).select("id", "label"))  # at most twice SAMPLE_TEXTS rows
