@@ -1,0 +1,21 @@
+"""Vector arithmetic as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of numbers, in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays; 0 if one has no length."""
+    n = norm(a) * norm(b)
+    return F.when(n > 0, dot(a, b) / n).otherwise(0.0)

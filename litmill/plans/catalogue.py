@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["moments"]
+MODULES = ["moments", "records", "analytics", "retrieval", "state"]
 
 
 def core_queries() -> dict:
