@@ -42,6 +42,7 @@ FAMILIES = [
     (rf"^(?:[a-z]{{3,9}},\s+)?({_MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})((?:,|\s).*)?$", 3, 1, 2, 4),
     (r"^(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})((?:,|\s).*)?$", 3, 2, 1, 4),
     (r"^(\d{4})\s?年\s?(\d{1,2})\s?月\s?(\d{1,2})\s?日(.*)?$", 1, 2, 3, 4),
+    (r"^(1[3-9]|2\d|3[01])/(0?[1-9]|1[0-2])/(\d{4})((?:,|\s).*)?$", 3, 2, 1, 4),
     (r"^(\d{1,2})/(\d{1,2})/(\d{4})((?:,|\s).*)?$", 3, 1, 2, 4),
 ]
 _TAIL = (
@@ -58,7 +59,6 @@ def date_parts(v: Column) -> Column:
     out = v
     for pattern, y, m, d, rest in FAMILIES:
         out = F.regexp_replace(out, pattern, f"|${y}|${m}|${d}|${rest}")
-    out = F.regexp_replace(out, r"^\|(\d{4})\|(1[3-9]|[23]\d)\|(0?[1-9]|1[0-2])\|", "|$1|$3|$2|")
     return F.split(out, r"\|", 5)
 
 
