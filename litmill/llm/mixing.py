@@ -27,7 +27,8 @@ def fit_budget(lengths: dict[int, int], budget: int, table: int = TABLE_TOKENS)
     if budget >= total:
         return dict(avail)
     share = budget / total
-    take = {n: int(c * share) for n, c in avail.items()}
+    # What the table can do alone is left to it whole.
+    take = {n: int(c * share) if budget > 2 * table else 0 for n, c in avail.items()}
     left = budget - sum(n * k for n, k in take.items())
     # Single documents, those whose count was rounded down most first, until the table can do the rest.
     for n in sorted(avail, key=lambda n: (-(avail[n] * share - take[n]), -n)):

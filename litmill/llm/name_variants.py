@@ -111,12 +111,15 @@ def parse_person(name: str) -> tuple[str, str, str, str]:
         given = [w for w in right if w not in loose]
     else:
         all_ = [w for w in words(head) if w not in HONORS]
+        bare = words(head)
+        if len(all_) == 1 and len(bare) == 2 and bare[0] == all_[0] and len(bare[1]) <= 2 and shown and shown[-1].isupper() and not shown[0].isupper():
+            all_ = bare  # "Doe MA" has initials, not a degree
         if len(all_) < 2:
             return " ".join(all_) or text.strip(), "", "", ""
         last = all_[-1]
         # "Surname AB": short capitals at the end are initials.
         capital = next((s for s in reversed(shown) if fold(s) == last), "")
-        if len(last) <= 3 and capital.isupper() and len(all_[0]) > 1 and not all(len(w) == 1 for w in all_[:-1]):
+        if (len(last) <= 2 or (len(last) == 3 and not set(last) & set("aeiouy"))) and capital.isupper() and len(all_[0]) > 1 and not all(len(w) == 1 for w in all_[:-1]):
             surname = [w for w in all_[:-1] if w not in PARTICLES]
             prefix = [w for w in all_[:-1] if w in PARTICLES]
             given = list(last)

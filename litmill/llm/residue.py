@@ -177,6 +177,10 @@ def train(sample: pd.DataFrame, held_out: bool) -> tuple[np.ndarray, float, dict
     segments, first = [x for x, k in zip(segments, known, strict=True) if k], [x for x, k in zip(first, known, strict=True) if k]
     label, owner = label[known], owner[known]
     label[np.array(["slotmark" in x for x in segments], dtype=bool)] = 1.0
+    # A bare slot stands for slots of all kinds, also where the sample has none.
+    if (label > 0).any():
+        n = max(3, int(label.sum()) // 20)
+        segments, first, label, owner = [*segments, *["slotmark"] * n], [*first, *[False] * n], np.append(label, np.ones(n)), np.append(owner, np.full(n, owner[0]))
     features = Features()
     host = sample["host"].fillna("").map(lambda h: zlib.crc32(h.encode()) % HELD_OUT == 0).to_numpy(dtype=bool)
     test = host[owner] if len(owner) and held_out else np.zeros(len(owner), dtype=bool)
@@ -197,7 +201,7 @@ def train(sample: pd.DataFrame, held_out: bool) -> tuple[np.ndarray, float, dict
 #: Content sentences beside which residue segments still make a text residue.
 MOST_CONTENT = 2
 #: Scores above which a segment, or one with an open slot, is residue.
-SURE, SLOT_SURE = 0.0, -4.0
+SURE, SLOT_SURE = 0.0, -8.0
 
 
 def judge(texts: pd.Series, features: Features, w: np.ndarray, b: float) -> pd.DataFrame:
