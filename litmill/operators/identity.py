@@ -17,7 +17,7 @@ def match_identity(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
     ``incoming`` has (record_id, source_name, kind, value), ``existing`` also (paper_source_id, paper_id).
     Every kind is an equi-join of its own key, never an OR; a source's own record number matches within
-    the source only. Among several hits the smallest source id wins, which the reference leaves open.
+    the source only. Among several hits the smallest source id wins.
     """
     e = existing.select("kind", "value", F.col("source_name").alias("e_source"), "paper_id", "paper_source_id")
     hits = incoming.join(e, ["kind", "value"]).withColumn("same", F.col("source_name") == F.col("e_source"))

@@ -7,6 +7,8 @@ own, in order. Groups are usually tiny; a group is one work's history and must f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,48 +35,61 @@ def identity_groups(links: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError("identity groups did not settle")
 
 
-def replay(rows: pd.DataFrame, mode: str) -> pd.DataFrame:
-    """Status of each row of one group in order of seq.
+class Replay:
+    """Papers of one group of records, as they stand after the records seen so far.
 
-    Rows have seq, record_id, source_name, ids (array of kind:value), rank (position of the version, or
-    null) and online (microseconds or null). A record belongs to the paper of its own source that shares
-    an id, else to one of another source, else it is new. Only insert skips older records.
+    A record belongs to the paper of its own source that shares an id, else to one of another source,
+    else it is new. Only the mode insert skips records that are not newer.
     """
-    papers: list[dict[str, dict]] = []
-    out = []
-    for r in rows.sort_values("seq").itertuples():
-        ids = set(r.ids)
-        rank = None if pd.isna(r.rank) else int(r.rank)
-        online = None if pd.isna(r.online) else int(r.online)
-        same = next((p for p in papers if r.source_name in p["sources"] and ids & p["sources"][r.source_name]["ids"]), None)
+
+    def __init__(self, mode: str) -> None:
+        self.mode, self.papers = mode, []
+
+    def step(self, record_id: int, source: str, ids: set[str], rank: int | None, online: int | None, seq: int) -> tuple:
+        """(status, paper_key, canonical_source, canonical_changed) of the next record; rank is the position of its version."""
+        here = {"ids": ids, "rank": rank, "online": online, "at": seq}
+        same = next((p for p in self.papers if source in p["sources"] and ids & p["sources"][source]["ids"]), None)
         shared = {i for i in ids if not i.startswith("record:")}
-        cross = same or next((p for p in papers if any(shared & s["ids"] for n, s in p["sources"].items() if n != r.source_name)), None)
-        paper, status = same or cross, ""
+        paper = same or next((p for p in self.papers if any(shared & s["ids"] for n, s in p["sources"].items() if n != source)), None)
         if same is not None:
-            old = same["sources"][r.source_name]
+            old = same["sources"][source]
             if rank is not None and old["rank"] is not None and rank != old["rank"]:
-                replaces = rank > old["rank"]
+                newer = rank > old["rank"]
             else:
-                replaces = online is not None and (old["online"] is None or online > old["online"])
-            status = "UPDATE_SAME_SOURCE" if mode != "insert" or replaces else "SKIP_SAME_SOURCE"
+                newer = online is not None and (old["online"] is None or online > old["online"])
+            status = "UPDATE_SAME_SOURCE" if self.mode != "insert" or newer else "SKIP_SAME_SOURCE"
             if status == "UPDATE_SAME_SOURCE":
-                same["sources"][r.source_name] = {"ids": ids | old["ids"], "rank": rank, "online": online, "at": r.seq}
-        elif mode == "update":
-            out.append((r.seq, r.record_id, "UPDATE_NOT_ALLOWED", None, None, False))
-            continue
-        elif cross is not None and r.source_name not in cross["sources"]:
+                here["ids"] = ids | old["ids"]
+                same["sources"][source] = here
+        elif self.mode == "update":
+            return "UPDATE_NOT_ALLOWED", None, None, False
+        elif paper is not None and source not in paper["sources"]:
             status = "APPEND_SOURCE"
-            cross["sources"][r.source_name] = {"ids": ids, "rank": rank, "online": online, "at": r.seq}
+            paper["sources"][source] = here
         else:
             status = "NEW_PAPER"
-            paper = {"key": f"P{r.record_id}", "canonical": None, "sources": {r.source_name: {"ids": ids, "rank": rank, "online": online, "at": r.seq}}}
-            papers.append(paper)
+            paper = {"key": f"P{record_id}", "canonical": None, "sources": {source: here}}
+            self.papers.append(paper)
         dated = [(s["online"], s["at"], n) for n, s in paper["sources"].items() if s["online"] is not None]
         canonical = max(dated)[2] if dated else paper["canonical"]
         changed = canonical != paper["canonical"]
         paper["canonical"] = canonical
-        out.append((r.seq, r.record_id, f"{mode.upper()}_{status}", paper["key"], canonical, changed))
-    return pd.DataFrame(out, columns=["seq", "record_id", "status", "paper_key", "canonical_source", "canonical_changed"])
+        return f"{self.mode.upper()}_{status}", paper["key"], canonical, changed
+
+
+def _run(mode: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by group and position; a group may go on in the next batch.
+        group, state = None, None
+        for df in batches:
+            out = []
+            for grp, seq, record_id, source, ids, rank, online in df[["grp", "seq", "record_id", "source_name", "ids", "rank", "online"]].itertuples(index=False, name=None):
+                if grp != group or state is None:
+                    group, state = grp, Replay(mode)
+                out.append((seq, record_id, *state.step(record_id, source, set(ids), None if rank != rank else int(rank), None if online != online else int(online), seq)))
+            yield pd.DataFrame(out, columns=["seq", "record_id", "status", "paper_key", "canonical_source", "canonical_changed"])
+
+    return run
 
 
 def replay_records(records: DataFrame, id_kinds: dict[str, str], mode: str = "insert") -> DataFrame:
@@ -98,7 +113,9 @@ def replay_records(records: DataFrame, id_kinds: dict[str, str], mode: str = "in
     r = r.join(F.broadcast(ordered) if ordered.count() <= 100_000 else ordered, "v", "left").drop("v")
     groups = identity_groups(r.select("record_id", F.explode("ids").alias("value")))
     r = r.join(groups, "record_id", "left").withColumn("grp", F.coalesce("grp", "record_id"))
-    return r.groupBy("grp").applyInPandas(lambda pdf: replay(pdf, mode), STATUS)
+    r = r.select("grp", "seq", "record_id", "source_name", "ids", F.col("rank").cast("double").alias("rank"), F.col("online").cast("double").alias("online"))
+    # One sorted stream per task instead of one data frame per group: most groups have a single record.
+    return r.repartition("grp").sortWithinPartitions("grp", "seq").mapInPandas(_run(mode), STATUS)
 
 
 def _all_by(c: str):
