@@ -29,7 +29,7 @@ NICKNAMES = {
     "abby": "abigail", "alex": "alexander", "al": "albert", "andy": "andrew", "tony": "anthony", "ben": "benjamin", "beth": "elizabeth",
     "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine", "kate": "katherine",
     "katie": "katherine", "chris": "christopher", "cindy": "cynthia", "gabi": "gabriella", "gaby": "gabriella", "sasha": "alexander", "sophie": "sophia", "chuck": "charles", "charlie": "charles", "dan": "daniel", "danny": "daniel", "dave": "david",
-    "deb": "deborah", "debbie": "deborah", "dick": "richard", "don": "donald", "ed": "edward", "eddie": "edward", "ted": "edward", "fred": "frederick",
+    "deb": "deborah", "debbie": "deborah", "dick": "richard", "don": "donald", "ed": "edward", "eddie": "edward", "ted": "edward", "theo": "theodore", "freddie": "frederick", "kathy": "katherine", "kat": "katherine", "ollie": "oliver", "harry": "henry", "rosie": "rosa", "fred": "frederick",
     "freddy": "frederick", "greg": "gregory", "jack": "john", "jen": "jennifer", "jenny": "jennifer", "jeff": "jeffrey", "jim": "james", "jimmy": "james",
     "joe": "joseph", "jon": "jonathan", "josie": "josephine", "jo": "josephine", "ken": "kenneth", "larry": "lawrence", "liz": "elizabeth",
     "lizzie": "elizabeth", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "matt": "matthew", "mike": "michael", "mick": "michael",
@@ -112,8 +112,9 @@ def parse_person(name: str) -> tuple[str, str, str, str]:
     else:
         all_ = [w for w in words(head) if w not in HONORS]
         bare = words(head)
-        if len(all_) == 1 and len(bare) == 2 and bare[0] == all_[0] and len(bare[1]) <= 2 and shown and shown[-1].isupper() and not shown[0].isupper():
-            all_ = bare  # "Doe MA" has initials, not a degree
+        proper = [w for w in all_ if w not in PARTICLES]
+        if len(proper) == 1 and bare[-1:] != all_[-1:] and bare[:-1] == all_ and len(bare[-1]) <= 2 and shown[-1].isupper() and not shown[-2].isupper():
+            all_ = bare  # "Doe MA" and "von Doe MD" have initials, not a degree
         if len(all_) < 2:
             return " ".join(all_) or text.strip(), "", "", ""
         last = all_[-1]
@@ -188,12 +189,17 @@ def _kind_of_slip(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _dropped(word: Column) -> Column:
-    """Array of the word and all words with one letter dropped, sounds spelled alike, for words of more than three letters."""
+    """Array of the word and all words with one letter dropped, as it is and with its sounds spelled alike; short words stay whole."""
+
+    def less(w: Column) -> Column:
+        n = F.length(w)
+        out = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))
+        return F.when(n > 3, F.concat(F.array(w), out)).otherwise(F.array(w))
+
+    alike = word
     for sound, letter in SOUNDS:
-        word = F.replace(word, F.lit(sound), F.lit(letter))
-    n = F.length(word)
-    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
-    return F.when(n > 3, F.array_distinct(F.concat(F.array(word), less))).otherwise(F.array(word))
+        alike = F.replace(alike, F.lit(sound), F.lit(letter))
+    return F.array_distinct(F.concat(less(word), less(alike)))
 
 
 def resolve_slips(keys: DataFrame) -> DataFrame:
@@ -295,7 +301,8 @@ def entities(names: DataFrame) -> DataFrame:
         "kind", "name", "n", F.concat_ws("|", "anchor", "varied", F.when(F.col("kind") == "person", mid)).alias("entity")
     )
     bare = parsed.where("kind = 'person' and varied = '' and initials = ''").select("kind", "name", "n", F.concat_ws("|", F.lit("="), "anchor").alias("entity"))
-    return full_out.unionByName(short_out).unionByName(bare)
+    # Written, as users join the result with itself.
+    return settle(full_out.unionByName(short_out).unionByName(bare))
 
 
 def variant_pairs(named: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def test_people(name, want):
     assert nv.parse_person(name)[:2] == want
 
 
-@pytest.mark.parametrize(("name", "want"), [("Doe J", "j"), ("J. Doe", "j"), ("J.R. Doe", "jr"), ("Doe, J. R.", "jr"), ("Doe JR", "jr")])
+@pytest.mark.parametrize(("name", "want"), [("Doe J", "j"), ("J. Doe", "j"), ("J.R. Doe", "jr"), ("Doe, J. R.", "jr"), ("Doe JR", "jr"), ("Doe MA", "ma")])
 def test_initials(name, want):
     assert nv.parse_person(name)[:3] == ("doe", "", want)
 
