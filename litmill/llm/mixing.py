@@ -21,14 +21,25 @@ SLICE_DOCS = 20_000
 
 
 def fit_budget(lengths: dict[int, int], budget: int, table: int = TABLE_TOKENS) -> dict[int, int]:
-    """How many of the available documents of each length to take so that their lengths sum to the budget or just below."""
+    """How many of the available documents of each length to take so that their lengths sum to the budget or just below.
+
+    All lengths take part alike. Where that leaves a rest and the budget is small, the table alone finds the best sum.
+    """
+    best = _fit(lengths, budget, table, spread=True)
+    size = lambda take: sum(n * k for n, k in take.items())
+    if size(best) < budget <= 2 * table:
+        other = _fit(lengths, budget, table, spread=False)
+        best = other if size(other) > size(best) else best
+    return best
+
+
+def _fit(lengths: dict[int, int], budget: int, table: int, spread: bool) -> dict[int, int]:
     avail = {n: c for n, c in lengths.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in avail.items())
     if budget >= total:
         return dict(avail)
     share = budget / total
-    # What the table can do alone is left to it whole.
-    take = {n: int(c * share) if budget > 2 * table else 0 for n, c in avail.items()}
+    take = {n: int(c * share) if spread else 0 for n, c in avail.items()}
     left = budget - sum(n * k for n, k in take.items())
     # Single documents, those whose count was rounded down most first, until the table can do the rest.
     for n in sorted(avail, key=lambda n: (-(avail[n] * share - take[n]), -n)):
