@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litmill.session import settle
+
 # What stands in for a missing title or abstract, without marks and in lower case.
 STAND_INS = [
     "abstract", "abstract not available", "abstract not provided", "abstract unavailable", "abstract pending",
@@ -128,7 +130,8 @@ def survivors(
         *[F.col(c).alias(f"f_{c}") for c in titles + texts],
     )
     many = keep.where("grp is not null").groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).select("grp")
-    member = keep.join(many, "grp", "left_semi")
+    # Read by every step below, so written once; it holds the rows of groups with several rows only.
+    member = settle(keep.join(many, "grp", "left_semi"))
     parts = None
     for c in titles + texts:
         value = F.col(f"f_{c}")
@@ -144,7 +147,7 @@ def survivors(
             ok = ok.withColumn("word", F.element_at(F.split(plain(value), " "), -1)).join(last, "word", "left_anti")
         part = ok.select("grp", F.lit(c).alias("field"), "id", "updated_us", "trust", F.md5(plain(value)).alias("norm"))
         parts = part if parts is None else parts.unionByName(part)
-    return votes(parts, F.col("trust"), half_life_us)
+    return votes(settle(parts), F.col("trust"), half_life_us)
 
 
 def surviving_records(rows: DataFrame, won: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
