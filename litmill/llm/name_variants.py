@@ -251,8 +251,13 @@ def entities(names: DataFrame) -> DataFrame:
     full = parsed.where("kind = 'organisation' or varied <> ''")
     keys = full.groupBy("kind", "anchor", "varied").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"))
     slip = settle(resolve_slips(keys))
-    # A slip of a slip takes two steps.
-    full = settle(_follow(_follow(full, slip), slip))
+    # A slip of a slip takes two steps, made on the few slips.
+    onward = slip.select("kind", F.col("base_anchor").alias("to_anchor"), F.col("base_varied").alias("to_varied"), "anchor", "varied")
+    further = slip.select("kind", F.col("anchor").alias("to_anchor"), F.col("varied").alias("to_varied"), F.col("base_anchor").alias("end_anchor"), F.col("base_varied").alias("end_varied"))
+    ends = onward.join(further, ["kind", "to_anchor", "to_varied"], "left").select(
+        "kind", "anchor", "varied", F.coalesce("end_anchor", "to_anchor").alias("base_anchor"), F.coalesce("end_varied", "to_varied").alias("base_varied")
+    )
+    full = settle(_follow(full, ends))
     person = full.where("kind = 'person'")
     # What is known of each full name: its first letter, and the letters that followed it somewhere.
     follow = person.where("seconds <> ''").groupBy("anchor", "varied").agg(
@@ -275,14 +280,15 @@ def entities(names: DataFrame) -> DataFrame:
         )
         return best.where("m = 1 or e = 1").select("anchor", "initials", F.col("b.base_anchor").alias("base_anchor"), F.col("b.varied").alias("base_varied"))
 
-    direct = fit(short, base.withColumn("base_anchor", F.col("anchor")))
+    base = settle(base)
     # Surnames that only ever stand with initials may be slips of a surname with full names.
     alone = short.join(base.select("anchor").distinct(), "anchor", "left_anti")
     forms = alone.select("anchor", F.explode(_dropped(F.col("anchor"))).alias("form")).distinct()
     near = forms.join(base.select(F.col("anchor").alias("base_anchor"), F.explode(_dropped(F.col("anchor"))).alias("form")).distinct(), "form")
     near = _kind_of_slip(near.select("anchor", "base_anchor").distinct(), "anchor", "base_anchor").select("anchor", "base_anchor")
-    slipped = fit(alone, base.withColumnRenamed("anchor", "base_anchor").join(near, "base_anchor"))
-    found = direct.unionByName(slipped)
+    # A surname either has full names of its own or is such a slip, so one pass fits both.
+    slipped = base.withColumnRenamed("anchor", "base_anchor").join(near, "base_anchor")
+    found = settle(fit(short, base.withColumn("base_anchor", F.col("anchor")).unionByName(slipped)))
     placed = short.join(found, ["anchor", "initials"], "left")
     # Initials without a full name: the shorter ones follow the longer ones if those are of one kind.
     lone = placed.where("base_varied is null").select("anchor", "initials").distinct()
