@@ -206,16 +206,15 @@ def resolve_slips(keys: DataFrame) -> DataFrame:
     """(kind, anchor, varied, base_anchor, base_varied) for keys that are a slip of a more common one.
 
     ``keys`` has (kind, anchor, varied, n, spellings). The slip may be in the varied part (given name;
-    an organisation's proper words) or in a person's anchor (surname).
+    an organisation's proper words) or in a person's anchor (surname). A slipped surname has no given names
+    of its own: all but SLIP_SHARE of them, without their slips, stand beside the other too.
     """
     beside_varied = keys.where("kind = 'person'").groupBy("kind", "varied").agg(F.count_distinct("anchor").alias("beside"))
-    beside_anchor = keys.where("kind = 'person'").groupBy("kind", "anchor").agg(F.count_distinct("varied").alias("names"))
-    k = keys.join(beside_varied, ["kind", "varied"], "left").join(beside_anchor, ["kind", "anchor"], "left").fillna({"beside": 1, "names": 1})
-    k = settle(k)
+    k = settle(keys.join(beside_varied, ["kind", "varied"], "left").fillna({"beside": 1}))
 
-    def close(fixed: str, moving: str) -> DataFrame:
+    def close(k: DataFrame, fixed: str, moving: str, *more: str) -> DataFrame:
         x = k.where(F.length(moving) > 3).withColumn("form", F.explode(_dropped(F.col(moving))))
-        cols = ["anchor", "varied", "n", "spellings", "beside", "names"]
+        cols = ["anchor", "varied", "n", "spellings", *more]
         a = x.select("kind", fixed, "form", *[F.col(c).alias(f"a_{c}") for c in cols])
         b = x.select("kind", fixed, "form", *[F.col(c).alias(f"b_{c}") for c in cols])
         pairs = a.join(b, ["kind", fixed, "form"]).where(F.col(f"a_{moving}") != F.col(f"b_{moving}")).drop("form", fixed).distinct()
@@ -226,9 +225,22 @@ def resolve_slips(keys: DataFrame) -> DataFrame:
     person, swapped = F.col("kind") == "person", F.col("slip") == 2
     few = F.col("a_beside") <= F.when(swapped, F.col("b_beside") * SWAP_SHARE).otherwise(F.greatest(F.lit(1), F.col("b_beside") * SLIP_SHARE))
     alone = (F.col("a_beside") == 1) & (F.col("b_beside") == 1) & swapped & rarer
-    in_given = close("anchor", "varied").where((person & ((few & (F.col("a_beside") < F.col("b_beside"))) | alone)) | (~person & rarer))
-    in_surname = close("varied", "anchor").where(person & (F.col("a_varied") != "") & (F.col("a_names") <= 1) & (order("a", "names") < order("b", "names")))
-    both = in_given.unionByName(in_surname)
+    in_given = settle(close(k, "anchor", "varied", "beside").where((person & ((few & (F.col("a_beside") < F.col("b_beside"))) | alone)) | (~person & rarer)))
+    # How often a slip occurs grows with the rows, so a slipped surname is known by its names, not by their number.
+    proper = in_given.where(person).groupBy(F.col("a_varied").alias("varied")).agg(F.max_by("b_varied", F.struct("b_beside", "b_varied")).alias("given"))
+    people = k.where("kind = 'person' and varied <> ''").join(proper, "varied", "left").withColumn("given", F.coalesce("given", "varied"))
+    names = people.groupBy("anchor").agg(F.count_distinct("given").alias("names"))
+    near = settle(close(people.join(names, "anchor"), "varied", "anchor", "names").where(order("a", "names") < order("b", "names")))
+    own = people.select("anchor", "given").distinct()
+    shared = (
+        near.select("a_anchor", "b_anchor").distinct()
+        .join(own.withColumnRenamed("anchor", "a_anchor"), "a_anchor")
+        .join(own.withColumnRenamed("anchor", "b_anchor"), ["b_anchor", "given"])
+        .groupBy("a_anchor", "b_anchor").agg(F.count("*").alias("shared"))
+    )
+    in_surname = near.join(shared, ["a_anchor", "b_anchor"]).where(F.col("shared") >= F.col("a_names") * (1 - SLIP_SHARE))
+    ends = ["kind", "a_anchor", "a_varied", "b_anchor", "b_varied", "b_n"]
+    both = in_given.select(*ends).unionByName(in_surname.select(*ends))
     best = both.groupBy("kind", "a_anchor", "a_varied").agg(F.max_by(F.struct("b_anchor", "b_varied"), F.struct("b_n", "b_anchor", "b_varied")).alias("b"))
     return best.select("kind", F.col("a_anchor").alias("anchor"), F.col("a_varied").alias("varied"), F.col("b.b_anchor").alias("base_anchor"), F.col("b.b_varied").alias("base_varied"))
 

@@ -50,3 +50,14 @@ def test_sources_with_gaps(spark):
     assert got == {("person", "Ann Doe"): 2, ("organisation", "U"): 1}
     empty = nv.distinct_names(authors.limit(0), cites.limit(0))
     assert nv.variant_pairs(nv.entities(empty)).count() == 0
+
+
+def test_slipped_surname_beside_several_names(spark):
+    """A slip of a surname that occurs with several people, one of them with a slipped given name; a surname with names of its own is none."""
+    people = {"Samuel Devgotek": 85, "Andre Devgotek": 36, "Paula Devgotek": 40, "Samuel Devvgotek": 3, "Andre Devvgotek": 4, "Sammuel Devvgotek": 1, "Sammuel Ferdapal": 1, "Samuel Ferdapal": 9,
+              "Samuel Buswin": 4, "Samuel Lakwagis": 4, "Samuel Hanstorp": 9, "Andre Hanstorp": 9, "Paula Hanstorp": 9, "Samuel Hansttorp": 5, "Otto Hansttorp": 5}
+    df = spark.createDataFrame([("person", k, n) for k, n in people.items()], "kind string, name string, n bigint")
+    got = {(r.name_a, r.name_b) for r in nv.variant_pairs(nv.entities(df)).collect()}
+    sam = ["Sammuel Devvgotek", "Samuel Devgotek", "Samuel Devvgotek"]
+    want = {(a, b) for a in sam for b in sam if a < b} | {("Andre Devgotek", "Andre Devvgotek"), ("Sammuel Ferdapal", "Samuel Ferdapal")}
+    assert got == want
