@@ -36,16 +36,24 @@ def upsert_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return triggers(named).groupBy("status", "needs_vector", "needs_keywords").agg(F.count("*").alias("n"))
 
 
-def version_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each source record would replace the one before it of the same paper and source; the SQL covers whole numbers."""
+def _decisions(sources: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("paper_id", "source_name").orderBy("paper_source_id")
-    s = table(spark, d, "paper_sources").where(r"version is null or version rlike '^[0-9]{1,9}$'")
-    s = s.select("paper_source_id", "version", "online_at", F.lag("version").over(w).alias("old"), F.lag("online_at").over(w).alias("old_at"), F.row_number().over(w).alias("k")).where("k > 1")
+    s = sources.select("paper_source_id", "version", "online_at", F.lag("version").over(w).alias("old"), F.lag("online_at").over(w).alias("old_at"), F.row_number().over(w).alias("k")).where("k > 1")
     return s.select("paper_source_id", newer(F.col("version"), F.col("old"), F.col("online_at"), F.col("old_at")).alias("replaces"))
 
 
+def version_decisions_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source record would replace the one before it of the same paper and source."""
+    return _decisions(table(spark, d, "paper_sources"))
+
+
+def version_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The same among the records without version or with a whole number alone, as the SQL covers these."""
+    return _decisions(table(spark, d, "paper_sources").where(r"version is null or version rlike '^[0-9]{1,9}$'"))
+
+
 VERSIONS_SQL = """
 WITH s AS (SELECT paper_source_id, try_cast(version AS BIGINT) AS v, online_at, lag(try_cast(version AS BIGINT)) OVER w AS o, lag(online_at) OVER w AS old_at, row_number() OVER w AS k
   FROM paper_sources WHERE version IS NULL OR regexp_matches(version, '^[0-9]{1,9}$') WINDOW w AS (PARTITION BY paper_id, source_name ORDER BY paper_source_id))
@@ -140,7 +148,7 @@ WITH r AS (SELECT record_id, nullif(regexp_replace(regexp_replace(trim(lower(doi
 SELECT key, max(record_id) AS record_id, arg_max(doi, record_id) AS doi, arg_max(version, record_id) AS version FROM w GROUP BY 1"""
 
 QUERIES = {
-    "upsert_replay": upsert_replay, "upsert_status_counts": upsert_status_counts, "version_decisions": version_decisions, "embedding_queue": embedding_queue,
+    "upsert_replay": upsert_replay, "upsert_status_counts": upsert_status_counts, "version_decisions": version_decisions, "version_decisions_all": version_decisions_all, "embedding_queue": embedding_queue,
     "missing_keyword_sources": missing_keyword_sources, "cascade_counts": cascade_counts, "shard_stats": shard_stats, "work_ids": work_ids, "event_windows": event_windows,
     "stream_ingest": stream_ingest,
 }
