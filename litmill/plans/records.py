@@ -124,8 +124,13 @@ SELECT paper_id, {_COLLAPSE("canonical_title")} AS collapsed, trim(regexp_replac
 FROM papers"""
 
 
+def parse_days_all(spark: SparkSession, d: str) -> DataFrame:
+    """Days of all texts that a paper was submitted at; null where none can be read."""
+    return table(spark, d, "papers").where("submitted_at is not null").select("paper_id", adapters.day(F.col("submitted_at")).alias("day"))
+
+
 def parse_days(spark: SparkSession, d: str) -> DataFrame:
-    """Days of texts that open with year, month and day; the SQL covers these forms."""
+    """Days of texts that are a year, month and day in numbers alone, as the SQL covers these forms."""
     p = table(spark, d, "papers").select("paper_id", F.trim("submitted_at").alias("v"))
     return p.where(F.col("v").rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}$|^\d{8}$")).select("paper_id", adapters.day(F.col("v")).alias("day"))
 
@@ -222,7 +227,7 @@ SELECT doi, record_id, version, deliveries FROM w WHERE k = 1"""
 
 QUERIES = {
     "preprint_adapter": preprint_adapter, "citation_adapter": citation_adapter, "explode_authors": explode_authors, "normalise_identifiers": normalise_identifiers,
-    "normalise_languages": normalise_languages, "normalise_texts": normalise_texts, "parse_days": parse_days, "build_index_text": build_index_text,
+    "normalise_languages": normalise_languages, "normalise_texts": normalise_texts, "parse_days": parse_days, "parse_days_all": parse_days_all, "build_index_text": build_index_text,
     "validate_records": validate_records, "funder_rows": funder_rows, "source_labels": source_labels, "identity_match": identity_match,
     "latest_version_per_doi": latest_version_per_doi,
 }

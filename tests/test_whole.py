@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from litmill.plans import state
+from litmill.plans import records, state
 
 
 @pytest.fixture
@@ -26,3 +26,14 @@ def test_version_decisions_all(spark, folder):
     d = folder(paper_sources=(rows, "paper_source_id int, paper_id int, source_name string, version string, online_at timestamp_ntz"))
     got = {r.paper_source_id: r.replaces for r in state.version_decisions_all(spark, d).collect()}
     assert got == {2: True, 3: False, 4: False, 5: True, 6: False, 7: False, 8: True, 11: True, 12: True}
+
+
+def test_parse_days_all(spark, folder):
+    want = {
+        "2020-05-06": "2020-05-06", "2020/5/6 23:59": "2020-05-06", "20200506120059": "2020-05-06", "Tue, 26 May 2020 12:00:59 +0200": "2020-05-26", "1st Sept 2020": "2020-09-01",
+        "May 6, 2020 at 2:05 PM": "2020-05-06", "6.5.2020": "2020-05-06", "05/06/2020 02:05 PM": "2020-05-06", "26/05/2020": "2020-05-26", "2020年5月6日 14:05": "2020-05-06",
+        " 2020-05-06T04:41:47Z ": "2020-05-06", "2020-02-30": None, "2020-05": None, "in press": None, "": None,
+    }
+    d = folder(papers=([*enumerate(want), (99, None)], "paper_id int, submitted_at string"))
+    got = {r.paper_id: r.day for r in records.parse_days_all(spark, d).collect()}
+    assert got == dict(enumerate(want.values()))
