@@ -117,8 +117,14 @@ WHERE p.paper_id IN (SELECT paper_id FROM paper_author_affiliation WHERE len(lis
 ORDER BY seen_at DESC NULLS LAST, p.paper_id DESC LIMIT 50"""
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of every fiftieth paper as queries."""
+    p = table(spark, d, "papers").where("paper_id % 50 = 0 and trim(canonical_title) <> ''")
+    return p.select(F.col("paper_id").alias("query_id"), F.trim("canonical_title").alias("query"))
+
+
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of every fiftieth paper, cut to their first three words, as queries."""
+    """Titles of every fiftieth paper, cut to their first three words as in the SQL of the queries that use them."""
     t = F.col("canonical_title")
     p = table(spark, d, "papers").where("paper_id % 50 = 0 and trim(canonical_title) <> ''")
     return p.select(F.col("paper_id").alias("query_id"), F.array_join(F.slice(F.split(F.trim(t), " "), 1, 3), " ").alias("query"))
@@ -132,6 +138,11 @@ def suggest_by_token(spark: SparkSession, d: str) -> DataFrame:
     return by_token(distinct_keywords(table(spark, d, "paper_keywords")), _queries(spark, d))
 
 
+def suggest_by_token_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The same for whole titles."""
+    return by_token(distinct_keywords(table(spark, d, "paper_keywords")), _titles(spark, d))
+
+
 TOKEN_SQL = f"""
 WITH {_Q_SQL}, {_V_SQL}, w AS (SELECT query_id, regexp_extract_all(lower(query), '[a-z0-9][a-z0-9+_\\-]*') AS xs FROM q),
   u AS (SELECT query_id, unnest(xs) AS token, unnest(range(0, len(xs))) AS i FROM w),
@@ -147,6 +158,12 @@ def suggest_by_trigram(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
+def suggest_by_trigram_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The same for whole titles."""
+    out = by_trigram(distinct_keywords(table(spark, d, "paper_keywords")), _titles(spark, d), 0.2)
+    return out.withColumn("score", F.round("score", 6))
+
+
 TRIGRAM_SQL = f"""
 WITH {_Q_SQL}, {_V_SQL}, a AS (SELECT query_id, {_GRAMS("query")} AS g FROM q), b AS (SELECT keyword_key, {_GRAMS("keyword_key")} AS h FROM v),
   c AS (SELECT query_id, keyword_key, len(list_intersect(g, h)) AS n, len(g) AS x, len(h) AS y FROM a, b)
@@ -154,7 +171,7 @@ SELECT query_id, keyword_key, round(n / (x + y - n), 6) AS score FROM c WHERE n
 
 
 def suggest_terms_ranked(spark: SparkSession, d: str) -> DataFrame:
-    out = suggest_terms(table(spark, d, "paper_keywords"), _queries(spark, d))
+    out = suggest_terms(table(spark, d, "paper_keywords"), _titles(spark, d))
     return out.select("query_id", "keyword_key", "score", "docs")
 
 
@@ -172,7 +189,7 @@ SELECT paper_id, CASE WHEN x + y - n > 0 THEN round(n / (x + y - n), 6) ELSE 0.0
 def understand_queries(spark: SparkSession, d: str) -> DataFrame:
     """Author names and titles of every fiftieth paper, routed."""
     names = table(spark, d, "paper_author_affiliation").where("paper_id % 50 = 0").select((F.col("paper_id") + 1_000_000_000).cast("int").alias("query_id"), F.get("authors", F.lit(0))["name"].alias("query"))
-    asked = _queries(spark, d).unionByName(names.where("query is not null"))
+    asked = _titles(spark, d).unionByName(names.where("query is not null"))
     return route(asked, table(spark, d, "paper_author_affiliation"), table(spark, d, "paper_keywords"))
 
 
@@ -227,7 +244,7 @@ WHERE {_COUNT("text")} > 0 ORDER BY rank DESC, doc_id LIMIT 100"""
 QUERIES = {
     "dense_topk": dense_topk, "dense_topk_per_source": dense_topk_per_source, "prioritised_search": prioritised_search, "recommend_similar": recommend_similar,
     "min_score_search": min_score_search, "hybrid_search": hybrid_search, "search_by_condition": search_by_condition, "search_by_author": search_by_author,
-    "suggest_by_token": suggest_by_token, "suggest_by_trigram": suggest_by_trigram, "suggest_terms_ranked": suggest_terms_ranked, "trigram_similarity": trigram_similarity,
+    "suggest_by_token": suggest_by_token, "suggest_by_trigram": suggest_by_trigram, "suggest_by_token_titles": suggest_by_token_titles, "suggest_by_trigram_titles": suggest_by_trigram_titles, "suggest_terms_ranked": suggest_terms_ranked, "trigram_similarity": trigram_similarity,
     "understand_queries": understand_queries, "query_phrases": query_phrases, "highlight_terms": highlight_terms, "hydrate_papers": hydrate_papers, "text_rank": text_rank,
 }
 SQL = {

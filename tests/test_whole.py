@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from litmill.plans import records, state
+from litmill.plans import records, retrieval, state
 
 
 @pytest.fixture
@@ -37,3 +37,18 @@ def test_parse_days_all(spark, folder):
     d = folder(papers=([*enumerate(want), (99, None)], "paper_id int, submitted_at string"))
     got = {r.paper_id: r.day for r in records.parse_days_all(spark, d).collect()}
     assert got == dict(enumerate(want.values()))
+
+
+def test_whole_titles_are_queries(spark, folder):
+    """Keywords past the third word are suggested, and the longest tokens are those of the whole title."""
+    titles = [(50, "On the role of mitochondria"), (51, "Unasked mitochondria")]
+    words = [(1, "mitochondria", "concept", "m", 1.0), (2, "role", "concept", "m", 1.0)]
+    d = folder(
+        papers=(titles, "paper_id int, canonical_title string"), paper_keywords=(words, "paper_id int, keyword string, keyword_type string, source string, weight double"),
+        paper_author_affiliation=([], "paper_id int, authors array<struct<name:string>>"),
+    )
+    want = {(50, "mitochondria"), (50, "role")}
+    for f in (retrieval.suggest_by_token_titles, retrieval.suggest_terms_ranked):
+        assert {(r.query_id, r.keyword_key) for r in f(spark, d).collect()} == want
+    assert (50, "mitochondria") in {(r.query_id, r.keyword_key) for r in retrieval.suggest_by_trigram_titles(spark, d).collect()}
+    assert [r.query for r in retrieval.understand_queries(spark, d).collect()] == ["On the role of mitochondria"]
