@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +13,15 @@ from litmill.functions.fuzzy import ratio
 from litmill.functions.text import CONNECTORS, author_like, correctable, query_text
 from litmill.operators.latest import best_per_key
 from litmill.operators.suggest import author_pool, distinct_keywords, search_authors, suggest_terms
+from litmill.session import settle
 
 # Thresholds of author matches and of corrections.
 AUTHOR_SURE, AUTHOR_LIKELY, AUTHOR_GAP = 0.92, 0.80, 0.03
-CORRECT, SUGGEST = 0.88, 0.75
+CORRECT, SUGGEST, SUGGEST_PHRASE = 0.88, 0.75, 0.82
+# A query of so many words is corrected phrase by phrase; what falls off the ends of a phrase.
+LONG = 5
+EDGES = " \t\r\n\"'`“”‘’!?;:()[]{}<>,./"
+STOPPED = {*CONNECTORS, "a", "an", "the", "this", "that", "these", "those"}
 
 
 def author_routes(authors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -39,12 +48,81 @@ def corrections(keywords: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def _term(text: str) -> str:
+    return " ".join(re.findall(r"[a-z0-9+_-]+", text.lower()))
+
+
+def spans(query: str, most: int = 5) -> list[tuple[int, int]]:
+    """(start, end) of the phrases of a query, in order and without overlap.
+
+    The query is parted at connectors, commas, semicolons and slashes. Where a part has more than ``most``
+    words, runs of its words stand for it: from the left, the longer text in place of those that it overlaps.
+    """
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def add(start: int, end: int, rank: int) -> None:
+        while start < end and query[start] in EDGES:
+            start += 1
+        while end > start and query[end - 1] in EDGES:
+            end -= 1
+        term = _term(query[start:end])
+        words = term.split()
+        if len(term) >= 4 and len(words) <= most and not all(w in STOPPED for w in words):
+            found[(start, end)] = min(found.get((start, end), (9, 0)), (rank, start - end))
+
+    at = 0
+    for m in re.finditer(r"\s+(?:" + "|".join(sorted(CONNECTORS, key=len, reverse=True)) + r")\s+|[,;/]+", query, re.IGNORECASE):
+        add(at, m.start(), 0)
+        at = m.end()
+    add(at, len(query), 0)
+    words = [m.span() for m in re.finditer(r"[A-Za-z0-9][A-Za-z0-9+_/-]*", query)]
+    for i in range(len(words)):
+        for k in range(i, min(len(words), i + most)):
+            add(words[i][0], words[k][1], 1)
+    chosen: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], x[0] - x[1])):
+        over = [x for x in chosen if x[0] < b and a < x[1]]
+        if not any(found[x] <= found[a, b] for x in over):
+            chosen = [x for x in chosen if x not in over] + [(a, b)]
+    return sorted(chosen)
+
+
 def phrases(queries: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, position, phrase): a query parted at connectors, commas, semicolons and slashes; runs of at most ``most`` words."""
-    # The connectors are marked, so that one split does for them and the marks.
-    parted = F.regexp_replace(F.lower("query"), r"\b(" + "|".join(CONNECTORS) + r")\b|[,;/]+", "|")
-    each = F.filter(F.transform(F.split(parted, r"\|"), lambda p: F.trim(p)), lambda p: (F.length(p) >= 4) & (F.size(F.split(p, r"\s+")) <= most))
-    return queries.select("query_id", F.posexplode(each).alias("position", "phrase"))
+    """(query_id, position, phrase, start, end): the phrases of each query, as they are written, and where they stand."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = [(q, i, t[a:b], a, b) for q, t in zip(df["query_id"], df["query"], strict=True) for i, (a, b) in enumerate(spans(t, most))]
+            yield pd.DataFrame(rows, columns=["query_id", "position", "phrase", "start", "end"])
+
+    kind = dict(queries.dtypes)["query_id"]
+    return queries.where("query is not null").select("query_id", "query").mapInPandas(run, f"query_id {kind}, position int, phrase string, start int, end int")
+
+
+def phrase_corrections(keywords: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, suggestion, confidence, applied) of long queries, and of those with connectors or marks, by their phrases.
+
+    Sure corrections of phrases are put in their places; where there are none, a likely one gives the confidence alone.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower("query"), r"[^a-z0-9+_-]+", " ")), " ")
+    long = (F.size(words) >= LONG) | F.col("query").rlike("[,;/]") | F.exists(words, lambda w: w.isin(*CONNECTORS))
+    asked = queries.where(long)
+    each = phrases(asked).where(~author_like(F.col("phrase")))
+    distinct = each.select(F.col("phrase").alias("query")).distinct().withColumn("query_id", F.col("query"))
+    fixed = corrections(keywords, distinct).where((F.col("confidence") >= SUGGEST_PHRASE) & (F.col("confidence") < 1))
+    hits = each.join(fixed.withColumnRenamed("query_id", "phrase"), "phrase")
+    per = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "suggestion", "confidence", "applied"))).alias("hits")).join(asked.select("query_id", "query"), "query_id")
+    # The phrases do not overlap, so all sure ones are spliced in, from the left.
+    sure = F.filter("hits", lambda h: h["applied"])
+    begun = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    spliced = F.aggregate(
+        sure, begun,
+        lambda x, h: F.struct(F.concat(x["text"], F.substring(F.col("query"), x["at"] + 1, h["start"] - x["at"]), h["suggestion"]).alias("text"), h["end"].alias("at")),
+        lambda x: F.concat(x["text"], F.substring(F.col("query"), x["at"] + 1, F.length("query"))),
+    )
+    some = F.size(sure) > 0
+    confidence = F.when(some, F.array_min(F.transform(sure, lambda h: h["confidence"]))).otherwise(F.array_max(F.transform("hits", lambda h: h["confidence"])))
+    return per.select("query_id", F.when(some, spliced).alias("suggestion"), confidence.alias("confidence"), some.alias("applied"))
 
 
 def route(queries: DataFrame, authors: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -55,7 +133,8 @@ def route(queries: DataFrame, authors: DataFrame, keywords: DataFrame) -> DataFr
     """
     asked = queries.select("query_id", query_text(F.col("query")).alias("query"))
     a = author_routes(authors, asked.where(author_like(F.col("query"))))
-    c = corrections(keywords, asked)
+    by_phrase = settle(phrase_corrections(keywords, asked))
+    c = by_phrase.unionByName(corrections(keywords, asked.join(by_phrase, "query_id", "left_anti")))
     j = asked.join(a, "query_id", "left").join(c, "query_id", "left")
     clear = ~F.coalesce("ambiguous", F.lit(False))
     way = (

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from litmill.operators.understand import phrases, route
 from litmill.plans import records, retrieval, state
 
 
@@ -52,3 +53,17 @@ def test_whole_titles_are_queries(spark, folder):
         assert {(r.query_id, r.keyword_key) for r in f(spark, d).collect()} == want
     assert (50, "mitochondria") in {(r.query_id, r.keyword_key) for r in retrieval.suggest_by_trigram_titles(spark, d).collect()}
     assert [r.query for r in retrieval.understand_queries(spark, d).collect()] == ["On the role of mitochondria"]
+
+
+def test_phrases_of_long_queries_are_corrected(spark):
+    q = spark.createDataFrame([(1, "quorum signalling in long runs of seven plain common words"), (2, "mitochondrial fision in island populations"), (3, "something else")], "query_id int, query string")
+    got = {}
+    for r in phrases(q).orderBy("query_id", "position").collect():
+        got.setdefault(r.query_id, []).append(r.phrase)
+    assert got == {1: ["quorum signalling", "long runs", "seven plain common words"], 2: ["mitochondrial fision", "island populations"], 3: ["something else"]}
+    eight = spark.createDataFrame([(1, "one two three four five six seven eight")], "query_id int, query string")
+    assert [r.phrase for r in phrases(eight).orderBy("position").collect()] == ["three four five six seven", "eight"]
+    words = spark.createDataFrame([(1, "mitochondrial fission", "concept", "m", 1.0)], "paper_id int, keyword string, keyword_type string, source string, weight double")
+    authors = spark.createDataFrame([], "paper_id int, authors array<struct<name:string>>")
+    out = {r.query_id: r.corrected_query for r in route(q, authors, words).collect()}
+    assert out == {1: None, 2: "mitochondrial fission in island populations", 3: None}
