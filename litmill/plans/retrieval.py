@@ -199,7 +199,7 @@ def query_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def highlight_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Titles with the query's words marked; the longest words first, at most twelve (the feature's limit)."""
+    """Titles with three fixed words marked."""
     p = table(spark, d, "papers").where("trim(canonical_title) <> ''").select("paper_id", "canonical_title")
     return p.select("paper_id", F.regexp_replace("canonical_title", r"(?i)(switch|membrane|repair)", "<mark>$1</mark>").alias("marked")).where(F.contains("marked", F.lit("<mark>")))
 
