@@ -18,17 +18,20 @@ from litmill.session import settle, table
 P1_SHINGLE, P1_THRESHOLD, P1_MIN_WORDS = 3, 0.5, 40
 
 
-def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    papers = table(spark, d, "papers").where(F.size(nd.words_of(F.col("canonical_abstract"))) >= P1_MIN_WORDS)
-    text = F.concat_ws(" ", F.coalesce("canonical_title", F.lit("")), "canonical_abstract")
+def _p1(spark: SparkSession, d: str, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    papers = table(spark, d, "papers")
+    if least:
+        papers = papers.where(F.regexp_count(F.lower("canonical_abstract"), F.lit("[a-z0-9]+")) >= least)
+    text = F.concat_ws(" ", F.coalesce("canonical_title", F.lit("")), F.coalesce("canonical_abstract", F.lit("")))
     return nd.near_duplicates(papers, "paper_id", text, P1_SHINGLE, P1_THRESHOLD)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return nd.member_pairs(*_p1(spark, d)).select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
+    return nd.member_pairs(*_p1(spark, d, P1_MIN_WORDS)).select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per paper with a word in its title or abstract, however short."""
     out = nd.duplicate_groups(*_p1(spark, d))
     return out.withColumnRenamed("id", "paper_id")
 
