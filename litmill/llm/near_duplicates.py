@@ -60,7 +60,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+def range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Sum of values[i] * base ** (i - start) over each range [start, end), modulo 2 ** 64; base is odd."""
     back = pow(base, -1, 1 << 64)
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * _powers(base, len(values)), dtype=np.uint64)])
@@ -75,7 +75,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     owner = np.searchsorted(np.cumsum([len(c) + 1 for c in coded]), starts, side="right")
-    return mixed(_sums(letters.astype(np.uint64), starts, ends, int(_BASE))), np.bincount(owner, minlength=len(texts))
+    return mixed(range_sums(letters.astype(np.uint64), starts, ends, int(_BASE))), np.bincount(owner, minlength=len(texts))
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def _signer(size: int):
                     continue
                 counts = counts[some]
                 ends = np.cumsum(counts)
-                text = [mixed(_sums(words, ends - counts, ends, base)).view(np.int64) for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
+                text = [mixed(range_sums(words, ends - counts, ends, base)).view(np.int64) for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
                 runs, each = shingles(words, counts, size)
                 minima = minhash(runs, np.cumsum(each) - each)
                 yield pd.DataFrame({"_id": df["_id"].iloc[lo:hi].to_numpy()[some], "_u": text[0], "_v": text[1], "_sig": list(pack_bits(minima)), "_bands": [r.tobytes() for r in band_keys(minima)]})

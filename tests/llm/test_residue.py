@@ -13,12 +13,13 @@ BAD = [
     "Error 404 - Not Found\nThe page you asked for is not here. Request id: 8f3a21", "Home | Browse\nService Unavailable\nThe server is down for maintenance.",
     "Traceback (most recent call last):\nKeyError: 'abstract'", "Title: [object Object]\nViews: NaN\nAuthors: undefined", "This site requires JavaScript.",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Please enable JavaScript to continue reading.",
+    "Dear {{ name }},\nYour text ${ title } was seen by <<editor>>.", "blah blah blah\nblah blah blah\nblah blah blah", "Sample text Sample text Sample text Sample text",
 ]
 
 
 @pytest.fixture(scope="module")
 def model():
-    rows = [("h%d" % (i % 7), 0, " ".join(CONTENT[(i + k) % 8] for k in range(7))) for i in range(80)] + [("h%d" % (i % 7), 1, BAD[i % 7]) for i in range(70)]
+    rows = [("h%d" % (i % 7), 0, " ".join(CONTENT[(i + k) % 8] for k in range(7))) for i in range(80)] + [("h%d" % (i % 7), 1, BAD[i % len(BAD)]) for i in range(70)]
     rows += [("h0", 0, "A title of a work without anything else")] * 5
     rows += [("h%d" % i, 0, " ".join(CONTENT) + " A reviewer noted that the link returned \"page not found\", which we repaired.") for i in range(7)]
     sample = pd.DataFrame(rows, columns=["host", "label", "text"])
@@ -37,7 +38,7 @@ def model():
 )
 def test_judgement(model, text, want):
     _, (w, b, _) = model
-    assert bool(rs.judge(pd.Series([text], dtype=object), rs.Features(), w, b)["is_residue"].iloc[0]) is want
+    assert bool(rs.judge(pd.Series([text], dtype=object), w, b)["is_residue"].iloc[0]) is want
 
 
 def test_held_out(model):
