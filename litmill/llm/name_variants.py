@@ -1,61 +1,74 @@
 """Variant spellings of people and organisations, linked through canonical rewritings.
 
-Every distinct spelling is rewritten to canonical forms: titles, degrees, departments and acronyms
-fall away, accents fold, legal forms and nicknames are written out, token order is undone, initials
-stand for names, and one dropped letter stands for one slip of the keyboard. The forms are exploded
-and equi-joined. How rare a form is decides whether it links: a slip must be the rarer spelling, a
-name that stands beside many surnames is no slip of another, and initials link only where they fit
-one full name. Spellings that end on one canonical key name one entity.
+Every distinct spelling is read literally (titles, degrees, departments and acronyms fall away,
+accents fold) and rewritten to every canonical form that rules allow: each full name of a nickname,
+each long form of a legal or institutional abbreviation, the other token order, initials, and one
+dropped letter for one slip of the keyboard. The forms are exploded and equi-joined with the names
+that stand literally. How rare a rewriting is makes its score: the share of what it leads to among
+all that the name could be rewritten to; a slip must be the rarer spelling, a name that stands beside
+many surnames is no slip of another, and initials link only where they fit one full name. Spellings
+that end on one canonical key name one entity; an entity's score at a spelling is the product of its
+steps' scores.
 
 Names are made distinct first, with counts, so a name that fills a third of all rows is one row here.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmill.session import settle
 
-# Titles and degrees, name particles, and nicknames of given names.
+# Titles and degrees, name particles, and nicknames with the full names they stand for, the usual one first.
 HONORS = {"dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "phd", "md", "msc", "bsc", "ma", "mba", "dphil", "dsc", "jr", "sr", "ii", "iii", "esq"}
 PARTICLES = {"von", "van", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "zu", "al", "el", "bin", "ibn"}
 NICKNAMES = {
-    "abby": "abigail", "alex": "alexander", "al": "albert", "andy": "andrew", "tony": "anthony", "ben": "benjamin", "beth": "elizabeth",
-    "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine", "kate": "katherine",
-    "katie": "katherine", "chris": "christopher", "cindy": "cynthia", "gabi": "gabriella", "gaby": "gabriella", "sasha": "alexander", "sophie": "sophia", "chuck": "charles", "charlie": "charles", "dan": "daniel", "danny": "daniel", "dave": "david",
-    "deb": "deborah", "debbie": "deborah", "dick": "richard", "don": "donald", "ed": "edward", "eddie": "edward", "ted": "edward", "theo": "theodore", "freddie": "frederick", "kathy": "katherine", "kat": "katherine", "ollie": "oliver", "harry": "henry", "rosie": "rosa", "fred": "frederick",
-    "freddy": "frederick", "greg": "gregory", "jack": "john", "jen": "jennifer", "jenny": "jennifer", "jeff": "jeffrey", "jim": "james", "jimmy": "james",
-    "joe": "joseph", "jon": "jonathan", "josie": "josephine", "jo": "josephine", "ken": "kenneth", "larry": "lawrence", "liz": "elizabeth",
-    "lizzie": "elizabeth", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "matt": "matthew", "mike": "michael", "mick": "michael",
-    "nick": "nicholas", "pat": "patricia", "patty": "patricia", "pete": "peter", "phil": "philip", "becky": "rebecca", "bec": "rebecca",
-    "rick": "richard", "rich": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel", "sandy": "alexandra", "steve": "stephen", "sue": "susan",
-    "susie": "susan", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "vicky": "victoria", "vic": "victor", "will": "william", "zach": "zachary",
+    "abby": ["abigail"], "al": ["albert", "alan", "alfred", "alexander"], "alex": ["alexander", "alexandra", "alexis"], "andy": ["andrew", "andreas"], "bec": ["rebecca"], "becky": ["rebecca"],
+    "ben": ["benjamin", "benedict"], "beth": ["elizabeth", "bethany"], "betty": ["elizabeth"], "bill": ["william"], "billy": ["william"], "bob": ["robert"], "bobby": ["robert"],
+    "cathy": ["catherine"], "charlie": ["charles", "charlotte"], "chris": ["christopher", "christine", "christina", "christian"], "chuck": ["charles"], "cindy": ["cynthia", "lucinda"],
+    "dan": ["daniel"], "danny": ["daniel"], "dave": ["david"], "deb": ["deborah"], "debbie": ["deborah"], "dick": ["richard"], "don": ["donald"], "ed": ["edward", "edmund", "edwin"],
+    "eddie": ["edward", "edmund"], "fred": ["frederick", "alfred"], "freddie": ["frederick"], "freddy": ["frederick"], "gabi": ["gabriella", "gabriele"], "gaby": ["gabriella"],
+    "greg": ["gregory"], "harry": ["henry", "harold"], "jack": ["john", "jackson"], "jeff": ["jeffrey"], "jen": ["jennifer"], "jenny": ["jennifer"], "jim": ["james"], "jimmy": ["james"],
+    "jo": ["josephine", "joanna", "joanne"], "joe": ["joseph"], "jon": ["jonathan"], "josie": ["josephine"], "kat": ["katherine"], "kate": ["katherine"], "kathy": ["katherine", "kathleen"],
+    "katie": ["katherine"], "ken": ["kenneth", "kendall"], "larry": ["lawrence"], "liz": ["elizabeth"], "lizzie": ["elizabeth"], "maggie": ["margaret"], "matt": ["matthew"], "meg": ["margaret", "megan"],
+    "mick": ["michael"], "mike": ["michael"], "nick": ["nicholas", "nicola"], "ollie": ["oliver"], "pat": ["patricia", "patrick"], "patty": ["patricia"], "peggy": ["margaret"], "pete": ["peter"],
+    "phil": ["philip", "philippa"], "rich": ["richard"], "rick": ["richard", "frederick"], "rob": ["robert"], "ron": ["ronald"], "rosie": ["rosa", "rosemary"], "sam": ["samuel", "samantha"],
+    "sandy": ["alexandra", "sandra", "alexander"], "sasha": ["alexander", "alexandra"], "sophie": ["sophia"], "steve": ["stephen", "steven"], "sue": ["susan", "suzanne"], "susie": ["susan"],
+    "ted": ["edward", "theodore"], "theo": ["theodore"], "tim": ["timothy"], "tom": ["thomas"], "tommy": ["thomas"], "tony": ["anthony", "antonio"], "vic": ["victor", "victoria"], "vicky": ["victoria"],
+    "will": ["william", "wilfred"], "zach": ["zachary"],
 }
-# Words of legal and institutional forms with their short forms, parts of an organisation, and words left out.
+# Words of legal and institutional forms with their long forms, the usual one first, parts of an organisation, and words left out.
 LEGAL = {
-    "univ": "university", "university": "university", "universitat": "university", "universite": "university", "universidad": "university",
-    "inst": "institute", "institute": "institute", "institut": "institute", "acad": "academy", "academy": "academy", "sci": "science",
-    "science": "science", "sciences": "science", "gen": "general", "general": "general", "hosp": "hospital", "hospital": "hospital",
-    "ctr": "centre", "cent": "centre", "center": "centre", "centre": "centre", "coll": "college", "college": "college", "natl": "national",
-    "national": "national", "med": "medicine", "medicine": "medicine", "res": "research", "research": "research", "tech": "technology",
-    "technol": "technology", "technology": "technology", "lab": "laboratory", "laboratory": "laboratory", "mol": "molecular",
-    "molecular": "molecular", "found": "foundation", "foundation": "foundation", "assoc": "association", "association": "association",
-    "soc": "society", "society": "society", "intl": "international", "international": "international", "co": "company", "company": "company",
-    "corp": "corporation", "corporation": "corporation", "ltd": "limited", "limited": "limited", "biol": "biology", "biology": "biology",
-    "ecol": "ecology", "ecology": "ecology",
+    "univ": ["university"], "university": ["university"], "universitat": ["university"], "universite": ["university"], "universidad": ["university"],
+    "inst": ["institute", "institution"], "institute": ["institute"], "institut": ["institute"], "institution": ["institution"], "acad": ["academy", "academic"], "academy": ["academy"], "sci": ["science", "scientific"],
+    "science": ["science"], "sciences": ["science"], "gen": ["general", "genetics"], "general": ["general"], "hosp": ["hospital"], "hospital": ["hospital"],
+    "ctr": ["centre"], "cent": ["centre", "central"], "center": ["centre"], "centre": ["centre"], "coll": ["college"], "college": ["college"], "natl": ["national"],
+    "national": ["national"], "med": ["medicine", "medical"], "medicine": ["medicine"], "res": ["research"], "research": ["research"], "tech": ["technology", "technical"],
+    "technol": ["technology"], "technology": ["technology"], "lab": ["laboratory"], "laboratory": ["laboratory"], "mol": ["molecular"],
+    "molecular": ["molecular"], "found": ["foundation"], "foundation": ["foundation"], "assoc": ["association"], "association": ["association"],
+    "soc": ["society", "social"], "society": ["society"], "intl": ["international"], "international": ["international"], "co": ["company"], "company": ["company"],
+    "corp": ["corporation"], "corporation": ["corporation"], "ltd": ["limited"], "limited": ["limited"], "biol": ["biology", "biological"], "biology": ["biology"],
+    "ecol": ["ecology", "ecological"], "ecology": ["ecology"], "academic": ["academic"], "scientific": ["scientific"], "genetics": ["genetics"], "central": ["central"], "medical": ["medical"],
+    "technical": ["technical"], "social": ["social"], "biological": ["biological"], "ecological": ["ecological"],
 }
+#: Readings that a spelling may have at most; no rule set above gives more for names of a few words. A longer product keeps the usual forms.
+READINGS = 64
 PARTS = {"dept", "department", "ward", "division", "div", "faculty", "unit", "section", "clinic", "school", "group", "lab", "laboratory", "room", "building", "floor"}
 SKIPPED = {"of", "for", "the", "and", "at", "in", "de", "der", "des", "fur", "la", "le"}
 # Spellings of one sound.
 SOUNDS = [("oo", "u"), ("ph", "f"), ("ck", "k")]
 #: A name is a slip of another if it stands beside at most this share of the other's counterparts; more if letters are swapped or doubled.
 SLIP_SHARE, SWAP_SHARE = 0.2, 0.5
+#: A rewriting links if its score is above this.
+LEAST = 0.5
 
 
 def fold(text: str) -> str:
@@ -89,7 +102,7 @@ def slip_kind(a: str, b: str) -> int:
 
 
 def parse_person(name: str) -> tuple[str, str, str, str]:
-    """(anchor, varied, initials, seconds): surname with particles, joined given names or '', initials, and what may follow the first.
+    """(anchor, varied, initials, seconds): surname with particles, joined given names as written or '', initials, and what may follow the first.
 
     seconds has the letters that stand alone after the first name; of a full name in several parts, their
     first letters follow after a dash.
@@ -140,33 +153,88 @@ def parse_person(name: str) -> tuple[str, str, str, str]:
     full = [w for w in given if len(w) > 1]
     initials = "".join(w[0] for w in given)
     if full:
-        full = [NICKNAMES.get(full[0], full[0]), *full[1:]]
         alone = "".join(w for w in given[1:] if len(w) == 1)
         return anchor, "".join(full), full[0][0], alone + "".join("-" + w[0] for w in full[1:])
     return anchor, "", initials, initials[1:]
 
 
-def parse_organisation(name: str) -> tuple[str, str, str, str]:
-    """(anchor, varied, '', ''): sorted words of its form, and its proper words."""
+def rewritten_person(name: str, anchor: str, varied: str) -> list[tuple[str, str, float]]:
+    """Further canonical forms (anchor, varied, weight): full names of a nickname, the usual one weighing 1, and the other token order of two bare words."""
+    if not varied:
+        return []
+    first = next((k for k in (varied, *(varied[:i] for i in range(len(varied) - 1, 1, -1))) if k in NICKNAMES and (k == varied or re.search(rf"(?<![^\W\d_]){k}(?![^\W\d_])", fold(name)))), None)
+    out = [(anchor, full + varied[len(first) :], 1.0 if i == 0 else 0.9) for i, full in enumerate(NICKNAMES[first])] if first else []
+    if "," not in name and " " not in anchor and re.fullmatch(r"\s*[^\W\d_]{2,}\s+[^\W\d_]{2,}\s*", name):
+        out.append((varied, anchor, 0.8))
+    return out
+
+
+def read_organisation(name: str) -> tuple[tuple[str, str], list[tuple[str, str]]]:
+    """(literal, readings): sorted words of its form and its proper words, with abbreviations of several meanings as written, and for every meaning, the usual ones first."""
     text = re.sub(r"\([^()]*\)", " ", fold(name))
     parts = [re.findall(r"[^\W_]+", p) for p in text.split(",")]
     whole = [p for p in parts if p and not (PARTS & set(p) and len(parts) > 1 and any(q for q in parts if q is not p and q))] or [p for p in parts if p]
-    form, proper = [], []
+    written, forms, proper = [], [], []
     for w in (w for p in whole for w in p if w not in SKIPPED):
         long = LEGAL.get(w)
         if long is None and len(w) > 4:
             long = next((v for k, v in LEGAL.items() if len(k) > 4 and slip_kind(w, k)), None)
-        (form if long else proper).append(long or w)
-    return " ".join(sorted(form)), " ".join(sorted(proper)), "", ""
+        if long:
+            forms.append(long)
+            written.append(long[0] if len(long) == 1 else w + ".")
+        else:
+            proper.append(w)
+    if np.prod([len(x) for x in forms], dtype=float) > READINGS:
+        forms = [x[:1] for x in forms]
+    rest = " ".join(sorted(proper))
+    return (" ".join(sorted(written)), rest), list(dict.fromkeys((" ".join(sorted(x)), rest) for x in itertools.product(*forms)))
+
+
+def parse_organisation(name: str) -> tuple[str, str, str, str]:
+    """(anchor, varied, '', '') of the usual reading."""
+    return (*read_organisation(name)[1][0], "", "")
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        rows = [parse_person(n) if k == "person" else parse_organisation(n) for k, n in zip(df["kind"], df["name"], strict=True)]
-        out = pd.DataFrame(rows, columns=["anchor", "varied", "initials", "seconds"])
+        rows = []
+        for kind, name in zip(df["kind"], df["name"], strict=True):
+            if kind == "person":
+                own = parse_person(name)
+                more = rewritten_person(name, *own[:2])
+            else:
+                literal, readings = read_organisation(name)
+                own, more = (*literal, "", ""), [(*x, 0.9 if i else 1.0) for i, x in enumerate(readings) if x != literal]
+            rows.append((*own, [{"anchor": x, "varied": y, "weight": w, "place": i} for i, (x, y, w) in enumerate(more)]))
+        out = pd.DataFrame(rows, columns=["anchor", "varied", "initials", "seconds", "forms"])
         yield pd.concat([df.reset_index(drop=True), out], axis=1)
 
 
+def resolve_forms(parsed: DataFrame, keys: DataFrame) -> DataFrame:
+    """(kind, anchor, varied, base_anchor, base_varied, score) of names that a rule rewrites to another canonical form.
+
+    All forms are exploded and joined with the names that stand literally (``keys``). A form's score is
+    its weight times its share of the occurrences of all forms that the name may be rewritten to, so
+    a rewriting that only one known name answers scores highest, and one of two equal ones does not link. A nickname
+    or an abbreviation of which no long form is known takes its usual one; the other token order needs a name that is known by it,
+    and counts only as far as the surname it gives stands beside more names than the one as written.
+    """
+    names = ["kind", "anchor", "varied"]
+    forms = parsed.select(*names, F.explode("forms").alias("f")).select(*names, F.col("f.anchor").alias("base_anchor"), F.col("f.varied").alias("base_varied"), F.col("f.weight").alias("weight"), F.col("f.place").alias("place")).distinct()
+    beside = keys.where("kind = 'person'").groupBy("anchor").agg(F.count("*").alias("beside"))
+    known = keys.select("kind", F.col("anchor").alias("base_anchor"), F.col("varied").alias("base_varied"), "n")
+    turned = (F.col("kind") == "person") & (F.col("anchor") != F.col("base_anchor"))
+    hits = forms.join(known, ["kind", "base_anchor", "base_varied"], "left").where(~turned | F.col("n").isNotNull())
+    hits = hits.join(beside.withColumnRenamed("beside", "own"), "anchor", "left").join(beside.withColumnsRenamed({"anchor": "base_anchor", "beside": "theirs"}), "base_anchor", "left")
+    hits = hits.withColumn("weight", F.col("weight") * F.when(turned, F.col("theirs") / (F.col("theirs") + F.col("own") - 1)).otherwise(1.0))
+    per = hits.groupBy(*names).agg(F.sum(F.coalesce("n", F.lit(0))).alias("all"))
+    score = F.col("weight") * F.when(F.col("all") > 0, F.coalesce("n", F.lit(0)) / F.col("all")).when(F.col("place") == 0, 1.0).otherwise(0.0)
+    best = hits.join(per, names).withColumn("score", score).where(F.col("score") > LEAST).groupBy(*names).agg(
+        F.max_by(F.struct("base_anchor", "base_varied", "score"), F.struct("score", -F.col("place"))).alias("b")
+    )
+    return best.select(*names, "b.base_anchor", "b.base_varied", "b.score")
+
+
 def distinct_names(papers_authors: DataFrame, citations: DataFrame) -> DataFrame:
     """(kind, name, n) of all spellings, trimmed, without null and blank ones."""
     author = papers_authors.select(F.explode("authors").alias("a"))
@@ -203,11 +271,12 @@ def _dropped(word: Column) -> Column:
 
 
 def resolve_slips(keys: DataFrame) -> DataFrame:
-    """(kind, anchor, varied, base_anchor, base_varied) for keys that are a slip of a more common one.
+    """(kind, anchor, varied, base_anchor, base_varied, score) for keys that are a slip of a more common one.
 
     ``keys`` has (kind, anchor, varied, n, spellings). The slip may be in the varied part (given name;
     an organisation's proper words) or in a person's anchor (surname). A slipped surname has no given names
-    of its own: all but SLIP_SHARE of them, without their slips, stand beside the other too.
+    of its own: all but SLIP_SHARE of them, without their slips, stand beside the other too. The score is the
+    base's share of the counterparts of both (of the occurrences, where both have the same), and never below LEAST.
     """
     beside_varied = keys.where("kind = 'person'").groupBy("kind", "varied").agg(F.count_distinct("anchor").alias("beside"))
     k = settle(keys.join(beside_varied, ["kind", "varied"], "left").fillna({"beside": 1}))
@@ -240,34 +309,43 @@ def resolve_slips(keys: DataFrame) -> DataFrame:
     )
     in_surname = near.join(shared, ["a_anchor", "b_anchor"]).where(F.col("shared") >= F.col("a_names") * (1 - SLIP_SHARE))
     ends = ["kind", "a_anchor", "a_varied", "b_anchor", "b_varied", "b_n"]
-    both = in_given.select(*ends).unionByName(in_surname.select(*ends))
-    best = both.groupBy("kind", "a_anchor", "a_varied").agg(F.max_by(F.struct("b_anchor", "b_varied"), F.struct("b_n", "b_anchor", "b_varied")).alias("b"))
-    return best.select("kind", F.col("a_anchor").alias("anchor"), F.col("a_varied").alias("varied"), F.col("b.b_anchor").alias("base_anchor"), F.col("b.b_varied").alias("base_varied"))
+    rarity = lambda c: F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), F.col("b_n") / (F.col("a_n") + F.col("b_n"))).otherwise(F.col(f"b_{c}") / (F.col(f"a_{c}") + F.col(f"b_{c}")))
+    both = in_given.select(*ends, rarity("beside").alias("score")).unionByName(in_surname.select(*ends, rarity("names").alias("score")))
+    best = both.groupBy("kind", "a_anchor", "a_varied").agg(F.max_by(F.struct("b_anchor", "b_varied", "score"), F.struct("b_n", "b_anchor", "b_varied")).alias("b"))
+    return best.select(
+        "kind", F.col("a_anchor").alias("anchor"), F.col("a_varied").alias("varied"), F.col("b.b_anchor").alias("base_anchor"), F.col("b.b_varied").alias("base_varied"),
+        F.greatest("b.score", F.lit(LEAST)).alias("score"),
+    )
 
 
-def _follow(rows: DataFrame, slip: DataFrame) -> DataFrame:
-    """Replace keys that are slips by their base."""
-    s = slip.select("kind", "anchor", "varied", "base_anchor", "base_varied")
+def _follow(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """Replace keys by the base that a step leads to, and multiply the scores."""
+    s = steps.select("kind", "anchor", "varied", "base_anchor", "base_varied", F.col("score").alias("_step"))
     out = rows.join(s, ["kind", "anchor", "varied"], "left")
-    return out.withColumns({"anchor": F.coalesce("base_anchor", "anchor"), "varied": F.coalesce("base_varied", "varied")}).drop("base_anchor", "base_varied")
+    return out.withColumns(
+        {"anchor": F.coalesce("base_anchor", "anchor"), "varied": F.coalesce("base_varied", "varied"), "score": F.col("score") * F.coalesce("_step", F.lit(1.0))}
+    ).drop("base_anchor", "base_varied", "_step")
 
 
 def entities(names: DataFrame) -> DataFrame:
-    """(kind, name, n, entity) of (kind, name, n): spellings of one entity share ``entity``.
+    """(kind, name, n, entity, score) of (kind, name, n): spellings of one entity share ``entity``.
 
+    ``score`` is 1 for a literal form and less the less sure the rewritings are that lead to the entity.
     Names in which nothing can be read (groups, single words) are linked only with those that fold to
     the same letters. Initials that fit several full names, or none, link only with equal initials.
     """
-    columns = "kind string, name string, n bigint, anchor string, varied string, initials string, seconds string"
+    columns = "kind string, name string, n bigint, anchor string, varied string, initials string, seconds string, forms array<struct<anchor:string,varied:string,weight:double,place:int>>"
     parsed = settle(names.mapInPandas(_parse, columns))
     full = parsed.where("kind = 'organisation' or varied <> ''")
+    literal = full.groupBy("kind", "anchor", "varied").agg(F.sum("n").alias("n"))
+    full = settle(_follow(full.withColumn("score", F.lit(1.0)).drop("forms"), resolve_forms(full, literal)))
     keys = full.groupBy("kind", "anchor", "varied").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"))
     slip = settle(resolve_slips(keys))
     # A slip of a slip takes two steps, made on the few slips.
-    onward = slip.select("kind", F.col("base_anchor").alias("to_anchor"), F.col("base_varied").alias("to_varied"), "anchor", "varied")
-    further = slip.select("kind", F.col("anchor").alias("to_anchor"), F.col("varied").alias("to_varied"), F.col("base_anchor").alias("end_anchor"), F.col("base_varied").alias("end_varied"))
+    onward = slip.select("kind", F.col("base_anchor").alias("to_anchor"), F.col("base_varied").alias("to_varied"), "anchor", "varied", "score")
+    further = slip.select("kind", F.col("anchor").alias("to_anchor"), F.col("varied").alias("to_varied"), F.col("base_anchor").alias("end_anchor"), F.col("base_varied").alias("end_varied"), F.col("score").alias("more"))
     ends = onward.join(further, ["kind", "to_anchor", "to_varied"], "left").select(
-        "kind", "anchor", "varied", F.coalesce("end_anchor", "to_anchor").alias("base_anchor"), F.coalesce("end_varied", "to_varied").alias("base_varied")
+        "kind", "anchor", "varied", F.coalesce("end_anchor", "to_anchor").alias("base_anchor"), F.coalesce("end_varied", "to_varied").alias("base_varied"), (F.col("score") * F.coalesce("more", F.lit(1.0))).alias("score")
     )
     full = settle(_follow(full, ends))
     person = full.where("kind = 'person'")
@@ -290,7 +368,9 @@ def entities(names: DataFrame) -> DataFrame:
             F.count_distinct("base_anchor", "varied").alias("m"), F.sum(F.col("exact").cast("int")).alias("e"),
             F.max_by(F.struct("base_anchor", "varied"), F.col("exact").cast("int")).alias("b"),
         )
-        return best.where("m = 1 or e = 1").select("anchor", "initials", F.col("b.base_anchor").alias("base_anchor"), F.col("b.varied").alias("base_varied"))
+        # The rarer the full names are that fit, the surer; of several that fit, one by its other initial.
+        fits = F.when(F.col("m") == 1, 1.0).otherwise(1.0 / (1.0 + 0.5 * (F.col("m") - 1)))
+        return best.where("m = 1 or e = 1").select("anchor", "initials", F.col("b.base_anchor").alias("base_anchor"), F.col("b.varied").alias("base_varied"), F.round(fits, 4).alias("fits"))
 
     base = settle(base)
     # Surnames that only ever stand with initials may be slips of a surname with full names.
@@ -310,15 +390,16 @@ def entities(names: DataFrame) -> DataFrame:
     short_out = placed.select(
         "kind", "name", "n",
         F.when(F.col("base_varied").isNotNull(), F.concat_ws("|", "base_anchor", "base_varied")).otherwise(F.concat_ws("|", F.lit("."), "anchor", lone_key)).alias("entity"),
+        F.when(F.col("base_varied").isNotNull(), F.col("fits")).when(lone_key != F.col("initials"), LEAST).otherwise(1.0).alias("score"),
     )
     # One given name with several middle letters names several people; the form without one then belongs to none of them.
     middle = person.where("seconds <> '' and not startswith(seconds, '-')").select("anchor", "varied", F.substring("seconds", 1, 1).alias("mid")).distinct()
     several = middle.groupBy("anchor", "varied").agg(F.count("*").alias("mids")).where("mids > 1")
     mid = F.when((F.coalesce(F.col("mids"), F.lit(0)) > 1) & ~F.col("seconds").startswith("-"), F.substring("seconds", 1, 1))
     full_out = full.join(several, ["anchor", "varied"], "left").select(
-        "kind", "name", "n", F.concat_ws("|", "anchor", "varied", F.when(F.col("kind") == "person", mid)).alias("entity")
+        "kind", "name", "n", F.concat_ws("|", "anchor", "varied", F.when(F.col("kind") == "person", mid)).alias("entity"), F.round("score", 4).alias("score")
     )
-    bare = parsed.where("kind = 'person' and varied = '' and initials = ''").select("kind", "name", "n", F.concat_ws("|", F.lit("="), "anchor").alias("entity"))
+    bare = parsed.where("kind = 'person' and varied = '' and initials = ''").select("kind", "name", "n", F.concat_ws("|", F.lit("="), "anchor").alias("entity"), F.lit(1.0).alias("score"))
     # Written, as users join the result with itself.
     return settle(full_out.unionByName(short_out).unionByName(bare))
 

@@ -127,10 +127,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Every spelling with its entity's most frequent spelling."""
+    """Every spelling with its entity's most frequent spelling and the score of the rewritings between them."""
     named = _p3(spark, d)
     best = named.groupBy("kind", "entity").agg(F.max_by("name", F.struct("n", "name")).alias("preferred"), F.count("*").alias("spellings"))
-    return named.join(best, ["kind", "entity"]).select(F.col("kind").alias("entity_kind"), "name", "n", "preferred", "spellings")
+    return named.join(best, ["kind", "entity"]).select(F.col("kind").alias("entity_kind"), "name", "n", "preferred", "spellings", "score")
 
 
 # ---- problem 2: citation records matched to papers
