@@ -38,14 +38,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- problem 4: surviving values of rows with one work_id
 P4_FIELDS = ["canonical_title", "canonical_abstract"]
-#: A merged row outvotes any number and any recency of others, and a later row any earlier ones: the limits in which
-#: trust comes before recency and recency before number, as the data's statement asks.
-P4_MERGED_LOG2, P4_HALF_LIFE_US = 2.0**42, 1000.0
+#: A merged row has the votes of 2 ** 24 others, and a vote halves every 150 days: merged rows come first unless they are ten
+#: years older, and among equals the later row unless several earlier ones of the last months agree on another value.
+P4_TRUST_LOG2, P4_HALF_LIFE_US = 24.0, 150 * 86_400_000_000.0
 
 
 def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     papers = table(spark, d, "papers")
-    merged = F.when(F.lower(F.trim("merge_status")) == "merged", P4_MERGED_LOG2).otherwise(0.0)
+    merged = F.when(F.lower(F.trim("merge_status")) == "merged", P4_TRUST_LOG2).otherwise(0.0)
     return papers, sv.survivors(papers, "work_id", "paper_id", P4_FIELDS[:1], P4_FIELDS[1:], merged, "updated_at", P4_HALF_LIFE_US)
 
 

@@ -61,17 +61,6 @@ def ends_openly(value: Column) -> Column:
     return F.element_at(F.split(plain(value), " "), -1).isin(OPEN_WORDS)
 
 
-def rarely_last(titles: DataFrame, title: str, least: int = 20, share: float = 0.02) -> DataFrame:
-    """Words (word) that occur ``least`` times or more in all titles and end less than ``share`` of them.
-
-    A title that ends in one is cut short. Counted over all rows.
-    """
-    words = F.split(plain(F.col(title)), " ")
-    each = titles.select(F.posexplode(words).alias("i", "word"), F.size(words).alias("n"))
-    counts = each.groupBy("word").agg(F.count("*").alias("c"), F.sum((F.col("i") == F.col("n") - 1).cast("long")).alias("last"))
-    return counts.where((F.col("c") >= least) & (F.col("last") < share * F.col("c")) & (F.col("word") != "")).select("word")
-
-
 def cut_titles(titles: DataFrame, group: str, id_col: str, title: str) -> DataFrame:
     """(id) of titles that are the beginning of another title of their group, also within a word.
 
@@ -143,8 +132,6 @@ def survivors(
             # A longer neighbour shows a title to be cut even if that neighbour is itself marked as cut or damaged.
             cut = cut_titles(member.withColumn("t", F.regexp_replace(value, CUT_MARK, "")), "grp", "id", "t")
             ok = ok.join(cut, "id", "left_anti")
-            last = rarely_last(keep, f"f_{c}")
-            ok = ok.withColumn("word", F.element_at(F.split(plain(value), " "), -1)).join(last, "word", "left_anti")
         part = ok.select("grp", F.lit(c).alias("field"), "id", "updated_us", "trust", F.md5(plain(value)).alias("norm"))
         parts = part if parts is None else parts.unionByName(part)
     return votes(settle(parts), F.col("trust"), half_life_us)

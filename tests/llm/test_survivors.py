@@ -32,8 +32,8 @@ ROWS = [
 
 def run(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    merged = F.when(F.lower(F.trim("merge_status")) == "merged", 2.0**42).otherwise(0.0)
-    return df, sv.survivors(df, "work_id", "paper_id", ["canonical_title"], ["canonical_abstract"], merged, "updated_at", 1000.0)
+    merged = F.when(F.lower(F.trim("merge_status")) == "merged", 24.0).otherwise(0.0)
+    return df, sv.survivors(df, "work_id", "paper_id", ["canonical_title"], ["canonical_abstract"], merged, "updated_at", 150 * 86_400_000_000.0)
 
 
 def test_winners(spark):
