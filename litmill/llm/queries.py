@@ -139,6 +139,12 @@ def _p2(spark: SparkSession, d: str) -> DataFrame:
     return em.matches(em.record_rows(table(spark, d, "citation_records")), works)
 
 
+def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence against truth on pairs that a DOI decides, on records held out of the fit."""
+    works = em.work_rows(table(spark, d, "papers"), table(spark, d, "paper_sources"), table(spark, d, "paper_author_affiliation"))
+    return em.reliability(em.record_rows(table(spark, d, "citation_records")), works)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d).select("record_id", F.col("work_id").cast("int").alias("paper_id"))
 
@@ -149,7 +155,7 @@ def p2_matches(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
-    "p2_found": p2_found, "p2_matches": p2_matches,
+    "p2_found": p2_found, "p2_matches": p2_matches, "p2_reliability": p2_reliability,
     "p3_found": p3_found, "p3_entities": p3_entities,
     "p4_found": p4_found, "p4_records": p4_records,
     "p6_packed": p6_packed, "p6_fill": p6_fill,
