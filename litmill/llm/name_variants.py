@@ -74,6 +74,8 @@ LEAST = 0.5
 def fold(text: str) -> str:
     """Lower-case letters without accents."""
     t = text.casefold()
+    if t.isascii():
+        return t
     for a, b in (("ł", "l"), ("ø", "o"), ("đ", "d"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ı", "i"), ("’", "'"), ("´", "'")):
         t = t.replace(a, b)
     return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
