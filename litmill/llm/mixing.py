@@ -3,8 +3,8 @@
 Documents are counted by source and exact token length. The size of the mixture is the largest at
 which no source is used more often than it may be. A source's budget is spent on full rounds over
 all its documents and, for the rest, on a number of documents of each length: shares rounded down,
-then single documents from long to short, then a bounded-knapsack table over what is left, so that
-the budget is met exactly where the lengths allow. The documents of a length are picked in a seeded
+single documents, and a bounded-knapsack table over the last tokens, so that the budget is met exactly
+where the lengths allow. The documents of a length are picked in a seeded
 order, by rank within a slice of that order, so that no task ranks a whole hot length.
 """
 
@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Budget left to the knapsack table, in tokens. The table's bits are as many.
+from litmill.session import settle
+
+#: Budget left to the knapsack table, in tokens; up to one document more. The table's bits are as many.
 TABLE_TOKENS = 20_000
 #: Documents of one length ranked together on average.
 SLICE_DOCS = 20_000
@@ -23,44 +25,35 @@ SLICE_DOCS = 20_000
 def fit_budget(lengths: dict[int, int], budget: int, table: int = TABLE_TOKENS) -> dict[int, int]:
     """How many of the available documents of each length to take so that their lengths sum to the budget or just below.
 
-    All lengths take part alike. Where that leaves a rest and the budget is small, the table alone finds the best sum.
+    All but ``table`` tokens of the budget are shared out over all lengths alike; a bounded-knapsack table over what is
+    left, whole documents of any length, finds the best sum. A budget within ``table`` is left to the table alone.
     """
-    best = _fit(lengths, budget, table, spread=True)
-    size = lambda take: sum(n * k for n, k in take.items())
-    if size(best) < budget <= 2 * table:
-        other = _fit(lengths, budget, table, spread=False)
-        best = other if size(other) > size(best) else best
-    return best
-
-
-def _fit(lengths: dict[int, int], budget: int, table: int, spread: bool) -> dict[int, int]:
     avail = {n: c for n, c in lengths.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in avail.items())
     if budget >= total:
         return dict(avail)
-    share = budget / total
-    take = {n: int(c * share) if spread else 0 for n, c in avail.items()}
+    share = max(0, budget - table) / total
+    take = {n: int(c * share) for n, c in avail.items()}
     left = budget - sum(n * k for n, k in take.items())
     # Single documents, those whose count was rounded down most first, until the table can do the rest.
     for n in sorted(avail, key=lambda n: (-(avail[n] * share - take[n]), -n)):
-        if left - n >= table // 2 and take[n] < avail[n]:
+        if left - n >= table and take[n] < avail[n]:
             take[n] += 1
             left -= n
     for n in sorted(avail, reverse=True):
-        more = min(avail[n] - take[n], max(0, (left - table // 2) // n))
+        more = min(avail[n] - take[n], max(0, (left - table) // n))
         take[n] += more
         left -= more * n
-    bits = min(left, 4 * table)
-    mask = (1 << (bits + 1)) - 1
+    mask = (1 << (left + 1)) - 1
     reach, steps = 1, []
     for n in sorted(avail):
-        spare, k = min(avail[n] - take[n], bits // n), 1
+        spare, k = min(avail[n] - take[n], left // n), 1
         while spare > 0:
             k = min(k, spare)
             steps.append((n, k, reach))
             reach |= (reach << (n * k)) & mask
             spare, k = spare - k, 2 * k
-        if (reach >> bits) & 1:
+        if (reach >> left) & 1:
             break
     at = reach.bit_length() - 1
     for n, k, before in reversed(steps):
@@ -100,9 +93,10 @@ def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
         .applyInPandas(_plan, "source string, n_tokens bigint, rounds bigint, take bigint")
         .where("rounds > 0 or take > 0")
     )
+    plan = settle(plan.join(counts, ["source", "n_tokens"]))  # read several times, made once
     slices = F.greatest(F.ceil(F.col("docs") / SLICE_DOCS), F.lit(1))
     placed = (
-        docs.join(plan.join(counts, ["source", "n_tokens"]), ["source", "n_tokens"])
+        docs.join(plan, ["source", "n_tokens"])
         .withColumn("_o", F.xxhash64(F.lit(seed), "id"))
         .withColumn("_slice", F.floor((F.col("_o") / 2.0**64 + 0.5) * slices).cast("int"))
     )

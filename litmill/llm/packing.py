@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from litmill.llm.tokens import pieces
 
-#: Neighbours packed at a time, and containers kept open at most (the fullest are closed first).
+#: Neighbours packed at a time, and containers kept open at most (the fullest are closed first): bounds of a task's memory
+#: that cost room, never a text.
 WINDOW, OPEN = 4096, 4096
-#: A container with less room than this share of its capacity is closed.
-CLOSED_SHARE = 0.002
 
 
 class _Packer:
@@ -38,7 +37,7 @@ class _Packer:
             room, number = self.capacity, self.made
             self.made += 1
         room -= size
-        if room > self.capacity * CLOSED_SHARE:
+        if room > 0:
             insort(self.open, (room, number))
             if len(self.open) > OPEN:
                 self.open.pop(0)
@@ -79,6 +78,7 @@ def packed(sizes: DataFrame, kinds: list[tuple[str, int]], stretches: int | None
     Every id is placed once per kind, whole if its n_tokens are within the capacity, else as pieces of the
     capacity and a rest. Empty texts take no room but are placed too. Kinds with a null name or a capacity
     below one are left out; a name that repeats keeps its smallest capacity. A container never mixes kinds.
+    Stretches of the curve are packed apart, so which texts share a container depends on the number of shuffle partitions.
     Ids are taken to be unique; a repeated one is placed as often as it occurs.
     """
     known: dict[str, int] = {}
