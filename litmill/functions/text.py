@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Language names to codes, words that are no keywords, topic words, connectors of phrases.
-LANGUAGES = {"english": "en", "eng": "en", "chinese": "zh", "zh-cn": "zh"}
+# Language names to codes, words that are no keywords, topic words, connectors of phrases, punctuation at the edges of queries.
+LANGUAGES = {"english": "en", "chinese": "zh", "中文": "zh", "英文": "en"}
 GENERIC_KEYWORDS = ["study", "analysis", "result", "results", "paper", "research", "method", "methods", "data", "approach"]
 TOPIC_WORDS = [
     "learning", "model", "models", "gene", "protein", "cell", "cells", "disease", "cancer", "algorithm", "algorithms",
     "analysis", "using", "with", "for", "in", "therapy", "genomics",
 ]
 CONNECTORS = ["and", "or", "for", "with", "in", "using", "via", "by", "of", "on", "to", "from"]
-EDGE = "[\\s\"'“”‘’`!?;:()\\[\\]{}<>]"
+EDGE = "[\\s\"'`“”‘’!?;:()\\[\\]{}<>]"
 
 
 def collapse(c: Column) -> Column:
@@ -27,9 +27,10 @@ def filled(c: Column) -> Column:
 
 
 def language(c: Column, default: str = "en") -> Column:
+    """The code of a language's name, other values in lower case; the default for a missing or empty one."""
     low = F.lower(F.trim(c))
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.when(low.isNull() | (low == ""), F.lit(default)).otherwise(F.coalesce(F.try_element_at(known, low), low))
+    return F.when(c.isNull() | (c == ""), F.lit(default)).otherwise(F.coalesce(F.try_element_at(known, low), low))
 
 
 def term(c: Column) -> Column:

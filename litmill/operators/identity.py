@@ -28,3 +28,21 @@ def match_identity(incoming: DataFrame, existing: DataFrame) -> DataFrame:
         "record_id", F.when(F.col("b.same"), "same_source").when(F.col("b.same").isNotNull(), "cross_source").otherwise("none").alias("match"),
         F.col("b.paper_id").alias("paper_id"), F.col("b.paper_source_id").alias("paper_source_id"),
     )
+
+
+def first_seen(identifiers: DataFrame, id_col: str) -> DataFrame:
+    """(id, match, earlier): the earliest record with a smaller id that shares an identifier, of the same source if there is one; -1 if none.
+
+    ``identifiers`` has (id, source_name, kind, value). Only the smallest ids of each identifier are looked up, so an
+    identifier that many records share costs one row per source, never pairs.
+    """
+    i = identifiers.withColumnRenamed(id_col, "_id")
+    own = i.groupBy("kind", "value", "source_name").agg(F.min("_id").alias("own"))
+    low = own.where("kind <> 'record'").groupBy("kind", "value").agg(F.min("own").alias("any"))
+    j = i.join(own, ["kind", "value", "source_name"]).join(low, ["kind", "value"], "left")
+    # Where a record is its source's first with the identifier, an earlier one is another source's.
+    per = j.groupBy("_id").agg(F.min(F.when(F.col("own") < F.col("_id"), F.col("own"))).alias("same"), F.min(F.when(F.col("any") < F.col("_id"), F.col("any"))).alias("other"))
+    return per.select(
+        F.col("_id").alias(id_col), F.when(F.col("same").isNotNull(), "same_source").when(F.col("other").isNotNull(), "cross_source").otherwise("none").alias("match"),
+        F.coalesce("same", "other", F.lit(-1)).alias("earlier"),
+    )

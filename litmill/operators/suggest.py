@@ -60,14 +60,16 @@ def by_trigram(vocabulary: DataFrame, queries: DataFrame, least: float = 0.35) -
 
 
 def suggest_terms(keywords: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """The best keywords of each query: by score, then papers, weight and spelling."""
+    """The best keywords of each query: by score, then papers, average weight and spelling."""
     from litmill.operators.latest import top_per_key
 
     vocabulary = distinct_keywords(keywords)
     found = by_token(vocabulary, queries).unionByName(by_trigram(vocabulary, queries)).groupBy("query_id", "keyword_key").agg(F.max("score").alias("score"))
-    per_key = vocabulary.groupBy("keyword_key").agg(F.min("display").alias("display"), F.sum("docs").alias("docs"), F.max("max_weight").alias("max_weight"))
+    per_key = vocabulary.groupBy("keyword_key").agg(
+        F.min("display").alias("display"), F.sum("docs").alias("docs"), F.round(F.sum(F.col("avg_weight") * F.col("docs")) / F.sum("docs"), 6).alias("avg_weight")
+    )
     ranked = found.join(per_key, "keyword_key").withColumn("score", F.round("score", 6))
-    return top_per_key(ranked, ["query_id"], [F.desc("score"), F.desc("docs"), F.desc("max_weight"), F.asc("keyword_key")], limit)
+    return top_per_key(ranked, ["query_id"], [F.desc("score"), F.desc("docs"), F.desc("avg_weight"), F.asc("keyword_key")], limit)
 
 
 def author_pool(authors: DataFrame) -> DataFrame:

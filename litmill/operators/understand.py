@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions.fuzzy import ratio
-from litmill.functions.text import CONNECTORS, author_like, correctable, query_text
+from litmill.functions.text import CONNECTORS, TOPIC_WORDS, author_key, author_like, correctable, query_text
 from litmill.operators.latest import best_per_key
 from litmill.operators.suggest import author_pool, distinct_keywords, search_authors, suggest_terms
 from litmill.session import settle
@@ -30,8 +30,12 @@ def author_routes(authors: DataFrame, queries: DataFrame) -> DataFrame:
     per = top.groupBy("query_id").agg(F.max_by("name", F.struct("score", "papers")).alias("author"), F.max("score").alias("score"), F.min("score").alias("next"), F.count("*").alias("n"))
     words = F.size(F.split(query_text(F.col("query")), " "))
     out = per.join(queries, "query_id")
-    score = F.when((F.col("score") < 1) & (words > 4), F.col("score") * 0.7).otherwise(F.col("score"))
-    ambiguous = (F.col("n") > 1) & ((words == 1) | (F.col("score") - F.col("next") < AUTHOR_GAP))
+    # A name that is not equal counts less in a long query and in one with a topic word.
+    topic = F.exists(F.split(author_key(F.col("query")), " "), lambda w: w.isin(TOPIC_WORDS))
+    less = F.when(words > 4, 0.7).otherwise(1.0) * F.when(topic, 0.7).otherwise(1.0)
+    score = F.when(F.col("score") < 1, F.col("score") * less).otherwise(F.col("score"))
+    equal = (F.col("score") == 1) & (words <= 4)
+    ambiguous = ~equal & (F.col("n") > 1) & ((words == 1) | (F.col("score") - F.col("next") < AUTHOR_GAP))
     return out.select("query_id", "author", F.round(score, 4).alias("score"), ambiguous.alias("ambiguous"))
 
 

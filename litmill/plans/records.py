@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import ids, text
 from litmill.functions.versions import version_key
-from litmill.operators.identity import identifier_rows, match_identity
+from litmill.operators.identity import first_seen, identifier_rows, match_identity
 from litmill.session import table
 from litmill.sources import adapters
 
@@ -51,7 +51,7 @@ def citation_adapter(spark: SparkSession, d: str) -> DataFrame:
 
 def _many_sql(key: str, comma: bool) -> str:
     x, one = f"meta['{key}']", f"meta['{key}'][1]"
-    by_comma = f"WHEN {one} LIKE '%,%' AND {one} NOT LIKE '%, %' THEN {_LIST(one, ',')}" if comma else ""
+    by_comma = f"WHEN {one} LIKE '%,%' AND {one} NOT LIKE '%, %' THEN {_LIST(one, ',')}" if comma else f"WHEN contains({one}, chr(10)) THEN list_filter(list_transform(string_split({one}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
     return f"""coalesce(CASE WHEN len({x}) = 1 THEN CASE WHEN {one} LIKE '%;%' THEN {_LIST(one, ";")} {by_comma}
       ELSE list_filter([trim({one})], lambda x: x <> '') END
       ELSE list_filter(list_transform({x}, lambda x: trim(x)), lambda x: x <> '') END, {_NONE})"""
@@ -59,10 +59,10 @@ def _many_sql(key: str, comma: bool) -> str:
 
 CITATION_SQL = f"""
 SELECT record_id, {_DOI("meta['citation_doi'][1]")} AS doi, nullif({_COLLAPSE("meta['citation_title'][1]")}, '') AS title,
-  CASE WHEN coalesce(trim(meta['citation_language'][1]), '') = '' THEN 'en'
-    ELSE CASE lower(trim(meta['citation_language'][1])) WHEN 'english' THEN 'en' WHEN 'eng' THEN 'en' WHEN 'chinese' THEN 'zh' WHEN 'zh-cn' THEN 'zh'
+  CASE WHEN coalesce(meta['citation_language'][1], '') = '' THEN 'en'
+    ELSE CASE lower(trim(meta['citation_language'][1])) WHEN 'english' THEN 'en' WHEN 'chinese' THEN 'zh' WHEN '中文' THEN 'zh' WHEN '英文' THEN 'en'
       ELSE lower(trim(meta['citation_language'][1])) END END AS language,
-  meta['citation_publisher'][1] AS publisher,
+  coalesce(nullif(meta['citation_publisher'][1], ''), 'Citation source') AS publisher,
   coalesce(nullif(regexp_extract(meta['citation_abstract_html_url'][1], '/(?:view|download)/(\\d+)', 1), ''), nullif(regexp_extract(url, '/(?:view|download)/(\\d+)', 1), '')) AS source_record_id,
   url AS source_url, CASE WHEN coalesce({_COLLAPSE("meta['citation_title'][1]")}, '') = '' THEN 'title is missing' END AS error,
   CAST(len({_many_sql("citation_author", True)}) AS BIGINT) AS n_authors, array_to_string({_many_sql("citation_keywords", True)}, '|') AS keywords,
@@ -103,8 +103,8 @@ def normalise_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 LANGUAGES_SQL = """
-SELECT CASE WHEN coalesce(trim(canonical_language), '') = '' THEN 'en' ELSE CASE lower(trim(canonical_language)) WHEN 'english' THEN 'en' WHEN 'eng' THEN 'en'
-  WHEN 'chinese' THEN 'zh' WHEN 'zh-cn' THEN 'zh' ELSE lower(trim(canonical_language)) END END AS language, count(*) AS n
+SELECT CASE WHEN coalesce(canonical_language, '') = '' THEN 'en' ELSE CASE lower(trim(canonical_language)) WHEN 'english' THEN 'en'
+  WHEN 'chinese' THEN 'zh' WHEN '中文' THEN 'zh' WHEN '英文' THEN 'en' ELSE lower(trim(canonical_language)) END END AS language, count(*) AS n
 FROM papers GROUP BY 1"""
 
 
@@ -124,20 +124,20 @@ SELECT paper_id, {_COLLAPSE("canonical_title")} AS collapsed, trim(regexp_replac
 FROM papers"""
 
 
-def parse_days_all(spark: SparkSession, d: str) -> DataFrame:
-    """Days of all texts that a paper was submitted at; null where none can be read."""
-    return table(spark, d, "papers").where("submitted_at is not null").select("paper_id", adapters.day(F.col("submitted_at")).alias("day"))
+def parse_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days of all texts that a paper was submitted at; null where the text has none of the plain forms."""
+    return table(spark, d, "papers").select("paper_id", adapters.iso_day(F.col("submitted_at")).alias("day"))
 
 
-def parse_days(spark: SparkSession, d: str) -> DataFrame:
-    """Days of texts that are a year, month and day in numbers alone, as the SQL covers these forms."""
-    p = table(spark, d, "papers").select("paper_id", F.trim("submitted_at").alias("v"))
-    return p.where(F.col("v").rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}$|^\d{8}$")).select("paper_id", adapters.day(F.col("v")).alias("day"))
+DAYS_SQL = r"""
+SELECT paper_id, CASE WHEN regexp_full_match(trim(submitted_at), '\d{4}-\d\d-\d\d(T([01]\d|2[0-3]):[0-5]\d:([0-5]\d|6[01])(\.\d{1,6})?Z?)?|\d{4}/\d\d/\d\d|\d{8}')
+  THEN strftime(try_strptime(substring(regexp_replace(trim(submitted_at), '[-/]', '', 'g'), 1, 8), '%Y%m%d'), '%Y-%m-%d') END AS day
+FROM papers"""
 
 
-DAYS_SQL = """
-SELECT paper_id, strftime(coalesce(try_strptime(trim(submitted_at), '%Y-%m-%d'), try_strptime(trim(submitted_at), '%Y/%m/%d'), try_strptime(trim(submitted_at), '%Y%m%d')), '%Y-%m-%d') AS day
-FROM papers WHERE regexp_matches(trim(submitted_at), '^\\d{4}[-/]\\d{2}[-/]\\d{2}$|^\\d{8}$')"""
+def read_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days of all texts that a paper was submitted at, in any form that is read (months by name, day first, Chinese, with times); null where none can be read."""
+    return table(spark, d, "papers").where("submitted_at is not null").select("paper_id", adapters.day(F.col("submitted_at")).alias("day"))
 
 
 def build_index_text(spark: SparkSession, d: str) -> DataFrame:
@@ -155,16 +155,25 @@ SELECT paper_id, CASE WHEN a IS NOT NULL THEN 'abstract' ELSE 'title' END AS tex
 
 
 def validate_records(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "preprint_records")
+    """What the raw records of both kinds lack that must be there, the first lack counting."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    reason = F.when(blank("title"), "title").when(blank("doi"), "doi").when(blank("server"), "server").when(blank("authors"), "authors").otherwise("ok")
-    return r.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    check = lambda *pairs: F.coalesce(*[F.when(test, name) for name, test in pairs], F.lit("ok"))
+    p = table(spark, d, "preprint_records").select(
+        F.lit("preprint").alias("kind"), check(("title", blank(F.col("title"))), ("doi", blank(F.col("doi"))), ("server", blank(F.col("server"))), ("authors", blank(F.col("authors")))).alias("reason")
+    )
+    one = lambda k: F.get(F.col("meta").getItem(k), F.lit(0))
+    c = table(spark, d, "citation_records").select(
+        F.lit("citation").alias("kind"), check(("meta", F.size("meta") <= 0), ("title", blank(one("citation_title"))), ("authors", F.coalesce(F.size(F.col("meta").getItem("citation_author")), F.lit(0)) <= 0), ("date", blank(F.coalesce(one("citation_online_date"), one("citation_publication_date"))))).alias("reason")
+    )
+    return p.unionByName(c).groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
 VALIDATE_SQL = """
-SELECT CASE WHEN coalesce(trim(title), '') = '' THEN 'title' WHEN coalesce(trim(doi), '') = '' THEN 'doi' WHEN coalesce(trim(server), '') = '' THEN 'server'
-  WHEN coalesce(trim(authors), '') = '' THEN 'authors' ELSE 'ok' END AS reason, count(*) AS n
-FROM preprint_records GROUP BY 1"""
+SELECT 'preprint' AS kind, CASE WHEN coalesce(trim(title), '') = '' THEN 'title' WHEN coalesce(trim(doi), '') = '' THEN 'doi' WHEN coalesce(trim(server), '') = '' THEN 'server'
+  WHEN coalesce(trim(authors), '') = '' THEN 'authors' ELSE 'ok' END AS reason, count(*) AS n FROM preprint_records GROUP BY 1, 2
+UNION ALL
+SELECT 'citation', CASE WHEN coalesce(cardinality(meta), 0) = 0 THEN 'meta' WHEN coalesce(trim(meta['citation_title'][1]), '') = '' THEN 'title' WHEN coalesce(len(meta['citation_author']), 0) = 0 THEN 'authors'
+  WHEN coalesce(trim(coalesce(meta['citation_online_date'][1], meta['citation_publication_date'][1])), '') = '' THEN 'date' ELSE 'ok' END, count(*) FROM citation_records GROUP BY 1, 2"""
 
 
 def funder_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -198,17 +207,42 @@ def _existing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identity_match(spark: SparkSession, d: str) -> DataFrame:
-    """Preprint records against the stored sources, by DOI; -1 where there is none."""
-    r = table(spark, d, "preprint_records").select("record_id", F.lit("harbour_history").alias("source_name"), ids.doi(F.col("doi")).alias("doi"))
-    return match_identity(identifier_rows(r, ["record_id"], {"doi": "doi"}), _existing(spark, d)).fillna(-1, ["paper_id", "paper_source_id"])
+    """Raw records of both kinds against the stored sources, by DOI and, within their source, by record number; -1 where there is none."""
+    p = table(spark, d, "preprint_records").select(F.concat(F.lit("preprint-"), "record_id").alias("record_id"), F.lit("harbour_history").alias("source_name"), ids.doi(F.col("doi")).alias("doi"), F.lit(None).cast("string").alias("number"))
+    c = adapters.from_citations(table(spark, d, "citation_records")).select(F.concat(F.lit("citation-"), "record_id").alias("record_id"), F.lit("tidepool").alias("source_name"), "doi", F.concat(F.lit("tid-"), "source_record_id").alias("number"))
+    incoming = identifier_rows(p.unionByName(c), ["record_id"], {"doi": "doi", "record": "number"})
+    return match_identity(incoming, _existing(spark, d)).fillna(-1, ["paper_id", "paper_source_id"])
 
 
 IDENTITY_SQL = f"""
-WITH r AS (SELECT record_id, {_DOI("doi")} AS doi FROM preprint_records), s AS (SELECT paper_source_id, paper_id, source_name, {_DOI("doi")} AS doi FROM paper_sources),
-  h AS (SELECT r.record_id, s.paper_id, s.paper_source_id, s.source_name = 'harbour_history' AS same,
-    row_number() OVER (PARTITION BY r.record_id ORDER BY (s.source_name = 'harbour_history') DESC, s.paper_source_id) AS k FROM r JOIN s ON r.doi = s.doi)
-SELECT r.record_id, CASE WHEN h.same THEN 'same_source' WHEN h.same IS NOT NULL THEN 'cross_source' ELSE 'none' END AS match, coalesce(h.paper_id, -1) AS paper_id, coalesce(h.paper_source_id, -1) AS paper_source_id
-FROM r LEFT JOIN h ON r.record_id = h.record_id AND h.k = 1 WHERE r.doi IS NOT NULL"""
+WITH r AS (SELECT 'preprint-' || record_id AS record_id, 'harbour_history' AS source_name, {_DOI("doi")} AS doi, NULL AS number FROM preprint_records
+  UNION ALL SELECT 'citation-' || record_id, 'tidepool', {_DOI("meta['citation_doi'][1]")},
+    'tid-' || coalesce(nullif(regexp_extract(meta['citation_abstract_html_url'][1], '/(?:view|download)/(\\d+)', 1), ''), nullif(regexp_extract(url, '/(?:view|download)/(\\d+)', 1), '')) FROM citation_records),
+  s AS (SELECT paper_source_id, paper_id, source_name, {_DOI("doi")} AS doi, source_record_id FROM paper_sources),
+  h AS (SELECT r.record_id, s.paper_id, s.paper_source_id, s.source_name = r.source_name AS same FROM r JOIN s ON r.doi = s.doi
+    UNION ALL SELECT r.record_id, s.paper_id, s.paper_source_id, true FROM r JOIN s ON r.number = s.source_record_id AND r.source_name = s.source_name),
+  b AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY same DESC, paper_source_id) AS k FROM h)
+SELECT r.record_id, CASE WHEN b.same THEN 'same_source' WHEN b.same IS NOT NULL THEN 'cross_source' ELSE 'none' END AS match, coalesce(b.paper_id, -1) AS paper_id, coalesce(b.paper_source_id, -1) AS paper_source_id
+FROM r LEFT JOIN b ON r.record_id = b.record_id AND b.k = 1 WHERE r.doi IS NOT NULL OR r.number IS NOT NULL"""
+
+
+def earlier_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The earlier source record, by any identifier, that each source record would have been matched with on arrival; -1 where there is none."""
+    s = table(spark, d, "paper_sources").select(
+        "paper_source_id", "source_name", ids.doi(F.col("doi")).alias("doi"), ids.arxiv(F.col("arxiv_id")).alias("arxiv"), ids.pubmed(F.col("pubmed_id")).alias("pubmed"),
+        ids.semantic_scholar(F.col("semantic_scholar_id")).alias("scholar"), F.col("source_record_id").alias("record"),
+    )
+    return first_seen(identifier_rows(s, ["paper_source_id"], {"doi": "doi", "arxiv": "arxiv", "pubmed": "pubmed", "scholar": "scholar", "record": "record"}), "paper_source_id")
+
+
+EARLIER_SQL = f"""
+WITH s AS (SELECT paper_source_id, source_name, {_DOI("doi")} AS doi, nullif(regexp_replace(trim(arxiv_id), '[vV]\\d+$', ''), '') AS arxiv, nullif(regexp_extract(pubmed_id, '\\d+'), '') AS pubmed,
+    nullif(lower(trim(semantic_scholar_id)), '') AS scholar, nullif(source_record_id, '') AS record FROM paper_sources),
+  i AS (UNPIVOT s ON doi, arxiv, pubmed, scholar, record INTO NAME kind VALUE v),
+  h AS (SELECT a.paper_source_id, min(b.paper_source_id) FILTER (a.source_name = b.source_name) AS same, min(b.paper_source_id) FILTER (a.source_name <> b.source_name) AS other
+    FROM i a JOIN i b ON a.kind = b.kind AND a.v = b.v AND b.paper_source_id < a.paper_source_id AND (a.kind <> 'record' OR a.source_name = b.source_name) GROUP BY 1)
+SELECT DISTINCT i.paper_source_id, CASE WHEN same IS NOT NULL THEN 'same_source' WHEN other IS NOT NULL THEN 'cross_source' ELSE 'none' END AS match, coalesce(same, other, -1) AS earlier
+FROM i LEFT JOIN h ON i.paper_source_id = h.paper_source_id"""
 
 
 def latest_version_per_doi(spark: SparkSession, d: str) -> DataFrame:
@@ -227,12 +261,12 @@ SELECT doi, record_id, version, deliveries FROM w WHERE k = 1"""
 
 QUERIES = {
     "preprint_adapter": preprint_adapter, "citation_adapter": citation_adapter, "explode_authors": explode_authors, "normalise_identifiers": normalise_identifiers,
-    "normalise_languages": normalise_languages, "normalise_texts": normalise_texts, "parse_days": parse_days, "parse_days_all": parse_days_all, "build_index_text": build_index_text,
-    "validate_records": validate_records, "funder_rows": funder_rows, "source_labels": source_labels, "identity_match": identity_match,
+    "normalise_languages": normalise_languages, "normalise_texts": normalise_texts, "parse_days": parse_days, "read_days": read_days, "build_index_text": build_index_text,
+    "validate_records": validate_records, "funder_rows": funder_rows, "source_labels": source_labels, "identity_match": identity_match, "earlier_matches": earlier_matches,
     "latest_version_per_doi": latest_version_per_doi,
 }
 SQL = {
     "preprint_adapter": PREPRINT_SQL, "citation_adapter": CITATION_SQL, "explode_authors": AUTHORS_SQL, "normalise_identifiers": IDENTIFIERS_SQL,
     "normalise_languages": LANGUAGES_SQL, "normalise_texts": TEXTS_SQL, "parse_days": DAYS_SQL, "build_index_text": INDEX_SQL, "validate_records": VALIDATE_SQL,
-    "funder_rows": FUNDER_SQL, "source_labels": LABELS_SQL, "identity_match": IDENTITY_SQL, "latest_version_per_doi": LATEST_SQL,
+    "funder_rows": FUNDER_SQL, "source_labels": LABELS_SQL, "identity_match": IDENTITY_SQL, "earlier_matches": EARLIER_SQL, "latest_version_per_doi": LATEST_SQL,
 }

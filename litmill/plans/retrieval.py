@@ -10,8 +10,9 @@ from litmill.functions.trigram import similarity
 from litmill.operators import nearest as nn
 from litmill.operators.latest import top_per_key
 from litmill.operators.suggest import by_token, by_trigram, distinct_keywords, suggest_terms
-from litmill.operators.understand import phrases, route
-from litmill.session import table
+from litmill.operators.highlight import highlight_plan, marked
+from litmill.operators.understand import corrections, phrases, route
+from litmill.session import settle, table
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -72,17 +73,23 @@ WITH {_SCORES} SELECT query_id, id, round(score, 4) AS score FROM (SELECT *, row
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Vector hits joined with rows of the query's own label as keyword hits, fifty of them (the feature's limit)."""
+    """Vector hits joined with rows of the query's own label as keyword hits.
+
+    Rows that only the label finds score alike and rank by id, so of each label's rows the smallest ids that vector
+    hits could crowd out suffice for the exact result; they are taken once per label, not per query.
+    """
     v, q = _vectors(spark, d)
+    k = 10
     labels = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("l"))
-    kw = labels.join(v.select("id", F.col("label").alias("l")), "l").select("query_id", "id")
-    kw = top_per_key(kw, ["query_id"], [F.asc("id")], 50)
-    return nn.hybrid(nn.nearest(v, q, 10), kw, 10).select("query_id", "id", "vector_score", "keyword_score", "score")
+    low = top_per_key(v.select("id", F.col("label").alias("l")), ["l"], [F.asc("id")], 2 * k)
+    hits = settle(nn.nearest(v, q, k))
+    named = hits.join(v.select("id", F.col("label").alias("l")), "id").join(labels, ["query_id", "l"], "left_semi").select("query_id", "id")
+    return nn.hybrid(hits, labels.join(low, "l").select("query_id", "id").unionByName(named), k).select("query_id", "id", "vector_score", "keyword_score", "score")
 
 
 HYBRID_SQL = f"""
 WITH {_SCORES}, v AS (SELECT query_id, id, score AS vector_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 10),
-  w AS (SELECT query_id, id FROM (SELECT q.id AS query_id, e.id, row_number() OVER (PARTITION BY q.id ORDER BY e.id) AS k FROM e q JOIN e ON q.label = e.label WHERE q.id % 50 = 0) WHERE k <= 50),
+  w AS (SELECT query_id, id FROM (SELECT q.id AS query_id, e.id, row_number() OVER (PARTITION BY q.id ORDER BY e.id) AS k FROM e q JOIN e ON q.label = e.label WHERE q.id % 50 = 0)),
   j AS (SELECT coalesce(v.query_id, w.query_id) AS query_id, coalesce(v.id, w.id) AS id, coalesce(vector_score, 0.0) AS vector_score, CASE WHEN w.id IS NULL THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS keyword_score
     FROM v FULL OUTER JOIN w ON v.query_id = w.query_id AND v.id = w.id),
   f AS (SELECT *, round(0.5 * vector_score + 0.5 * keyword_score, 6) AS score FROM j)
@@ -123,23 +130,11 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("paper_id").alias("query_id"), F.trim("canonical_title").alias("query"))
 
 
-def _queries(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of every fiftieth paper, cut to their first three words as in the SQL of the queries that use them."""
-    t = F.col("canonical_title")
-    p = table(spark, d, "papers").where("paper_id % 50 = 0 and trim(canonical_title) <> ''")
-    return p.select(F.col("paper_id").alias("query_id"), F.array_join(F.slice(F.split(F.trim(t), " "), 1, 3), " ").alias("query"))
-
-
-_Q_SQL = "q AS (SELECT paper_id AS query_id, array_to_string(string_split(trim(canonical_title), ' ')[1:3], ' ') AS query FROM papers WHERE paper_id % 50 = 0 AND trim(canonical_title) <> '')"
+_Q_SQL = "q AS (SELECT paper_id AS query_id, trim(canonical_title) AS query FROM papers WHERE paper_id % 50 = 0 AND trim(canonical_title) <> '')"
 _V_SQL = "v AS (SELECT DISTINCT lower(trim(keyword)) AS keyword_key FROM paper_keywords WHERE trim(keyword) <> '')"
 
 
 def suggest_by_token(spark: SparkSession, d: str) -> DataFrame:
-    return by_token(distinct_keywords(table(spark, d, "paper_keywords")), _queries(spark, d))
-
-
-def suggest_by_token_titles(spark: SparkSession, d: str) -> DataFrame:
-    """The same for whole titles."""
     return by_token(distinct_keywords(table(spark, d, "paper_keywords")), _titles(spark, d))
 
 
@@ -154,12 +149,6 @@ _GRAMS = lambda c: f"list_distinct(flatten(list_transform(list_filter(string_spl
 
 
 def suggest_by_trigram(spark: SparkSession, d: str) -> DataFrame:
-    out = by_trigram(distinct_keywords(table(spark, d, "paper_keywords")), _queries(spark, d), 0.2)
-    return out.withColumn("score", F.round("score", 6))
-
-
-def suggest_by_trigram_titles(spark: SparkSession, d: str) -> DataFrame:
-    """The same for whole titles."""
     out = by_trigram(distinct_keywords(table(spark, d, "paper_keywords")), _titles(spark, d), 0.2)
     return out.withColumn("score", F.round("score", 6))
 
@@ -171,10 +160,24 @@ SELECT query_id, keyword_key, round(n / (x + y - n), 6) AS score FROM c WHERE n
 
 
 def suggest_terms_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The best keywords of each title by both ways: score, papers, average weight, spelling."""
     out = suggest_terms(table(spark, d, "paper_keywords"), _titles(spark, d))
     return out.select("query_id", "keyword_key", "score", "docs")
 
 
+RANKED_SQL = f"""
+WITH {_Q_SQL}, k AS (SELECT lower(trim(keyword)) AS keyword_key, keyword_type, source, paper_id, max(coalesce(CAST(weight AS DOUBLE), 1.0)) AS w FROM paper_keywords WHERE trim(keyword) <> '' GROUP BY 1, 2, 3, 4),
+  v AS (SELECT keyword_key, count(*) AS docs, round(avg(w), 6) AS avg_weight FROM k GROUP BY 1), w AS (SELECT query_id, regexp_extract_all(lower(query), '[a-z0-9][a-z0-9+_\\-]*') AS xs FROM q),
+  u AS (SELECT query_id, unnest(xs) AS token, unnest(range(0, len(xs))) AS i FROM w),
+  t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(token) DESC, i) AS k FROM u WHERE length(token) >= 3) WHERE k <= 3),
+  a AS (SELECT query_id, {_GRAMS("query")} AS g FROM q), b AS (SELECT keyword_key, {_GRAMS("keyword_key")} AS h FROM v),
+  c AS (SELECT query_id, keyword_key, len(list_intersect(g, h)) AS n, len(g) AS x, len(h) AS y FROM a, b),
+  f AS (SELECT query_id, keyword_key, CASE WHEN contains(keyword_key, token) THEN 4.0 ELSE 2.0 END AS score FROM t JOIN v ON contains(keyword_key, token) OR (length(token) >= 5 AND contains(keyword_key, token[1:4]))
+    UNION ALL SELECT query_id, keyword_key, n / (x + y - n) FROM c WHERE n > 0 AND n / (x + y - n) >= 0.35),
+  s AS (SELECT query_id, keyword_key, CAST(round(max(score), 6) AS DOUBLE) AS score FROM f GROUP BY 1, 2)
+SELECT query_id, keyword_key, score, docs FROM (SELECT s.*, docs, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, docs DESC, avg_weight DESC, keyword_key) AS k FROM s JOIN v USING (keyword_key)) WHERE k <= 20"""
+
+
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "papers").where("canonical_title is not null and canonical_publisher is not null")
     return p.select("paper_id", F.round(similarity(F.col("canonical_title"), F.col("canonical_publisher")), 6).alias("score"))
@@ -199,14 +202,13 @@ def query_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def highlight_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Titles with three fixed words marked."""
-    p = table(spark, d, "papers").where("trim(canonical_title) <> ''").select("paper_id", "canonical_title")
-    return p.select("paper_id", F.regexp_replace("canonical_title", r"(?i)(switch|membrane|repair)", "<mark>$1</mark>").alias("marked")).where(F.contains("marked", F.lit("<mark>")))
-
-
-HIGHLIGHT_SQL = """
-SELECT paper_id, regexp_replace(canonical_title, '(?i)(switch|membrane|repair)', '<mark>\\1</mark>', 'g') AS marked FROM papers
-WHERE trim(canonical_title) <> '' AND regexp_matches(canonical_title, '(?i)(switch|membrane|repair)')"""
+    """What to mark in the hits of each title query, and the query's own title and abstract with it marked."""
+    asked, keywords = _titles(spark, d), table(spark, d, "paper_keywords")
+    routed = route(asked, table(spark, d, "paper_author_affiliation"), keywords)
+    plan = highlight_plan(routed, suggest_terms(keywords, asked).select("query_id", F.col("display").alias("keyword")))
+    p = table(spark, d, "papers").select(F.col("paper_id").alias("query_id"), "canonical_title", "canonical_abstract")
+    mark = lambda c: F.when(F.array_contains("fields", c[10:]), marked(F.col(c), F.col("terms"))).otherwise(F.col(c))
+    return plan.join(p, "query_id").select("query_id", "mode", F.array_join("terms", "|").alias("terms"), mark("canonical_title").alias("title"), mark("canonical_abstract").alias("abstract"))
 
 
 def hydrate_papers(spark: SparkSession, d: str) -> DataFrame:
@@ -244,11 +246,11 @@ WHERE {_COUNT("text")} > 0 ORDER BY rank DESC, doc_id LIMIT 100"""
 QUERIES = {
     "dense_topk": dense_topk, "dense_topk_per_source": dense_topk_per_source, "prioritised_search": prioritised_search, "recommend_similar": recommend_similar,
     "min_score_search": min_score_search, "hybrid_search": hybrid_search, "search_by_condition": search_by_condition, "search_by_author": search_by_author,
-    "suggest_by_token": suggest_by_token, "suggest_by_trigram": suggest_by_trigram, "suggest_by_token_titles": suggest_by_token_titles, "suggest_by_trigram_titles": suggest_by_trigram_titles, "suggest_terms_ranked": suggest_terms_ranked, "trigram_similarity": trigram_similarity,
+    "suggest_by_token": suggest_by_token, "suggest_by_trigram": suggest_by_trigram, "suggest_terms_ranked": suggest_terms_ranked, "trigram_similarity": trigram_similarity,
     "understand_queries": understand_queries, "query_phrases": query_phrases, "highlight_terms": highlight_terms, "hydrate_papers": hydrate_papers, "text_rank": text_rank,
 }
 SQL = {
     "dense_topk": DENSE_SQL, "dense_topk_per_source": PER_SOURCE_SQL, "prioritised_search": PRIORITY_SQL, "recommend_similar": RECOMMEND_SQL, "min_score_search": MIN_SCORE_SQL,
     "hybrid_search": HYBRID_SQL, "search_by_condition": CONDITION_SQL, "search_by_author": AUTHOR_SQL, "suggest_by_token": TOKEN_SQL, "suggest_by_trigram": TRIGRAM_SQL,
-    "trigram_similarity": SIMILARITY_SQL, "highlight_terms": HIGHLIGHT_SQL, "hydrate_papers": HYDRATE_SQL, "text_rank": RANK_SQL,
+    "suggest_terms_ranked": RANKED_SQL, "trigram_similarity": SIMILARITY_SQL, "hydrate_papers": HYDRATE_SQL, "text_rank": RANK_SQL,
 }

@@ -44,19 +44,15 @@ def _decisions(sources: DataFrame) -> DataFrame:
     return s.select("paper_source_id", newer(F.col("version"), F.col("old"), F.col("online_at"), F.col("old_at")).alias("replaces"))
 
 
-def version_decisions_all(spark: SparkSession, d: str) -> DataFrame:
+def version_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Whether each source record would replace the one before it of the same paper and source."""
     return _decisions(table(spark, d, "paper_sources"))
 
 
-def version_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """The same among the records without version or with a whole number alone, as the SQL covers these."""
-    return _decisions(table(spark, d, "paper_sources").where(r"version is null or version rlike '^[0-9]{1,9}$'"))
-
-
-VERSIONS_SQL = """
-WITH s AS (SELECT paper_source_id, try_cast(version AS BIGINT) AS v, online_at, lag(try_cast(version AS BIGINT)) OVER w AS o, lag(online_at) OVER w AS old_at, row_number() OVER w AS k
-  FROM paper_sources WHERE version IS NULL OR regexp_matches(version, '^[0-9]{1,9}$') WINDOW w AS (PARTITION BY paper_id, source_name ORDER BY paper_source_id))
+VERSIONS_SQL = r"""
+WITH p AS (SELECT paper_source_id, paper_id, source_name, online_at, CASE WHEN regexp_full_match(lower(trim(version)), 'v?\d+(\.\d+)*')
+    THEN list_transform(string_split(regexp_replace(ltrim(lower(trim(version)), 'v'), '(\.0+)+$', ''), '.'), lambda x: CAST(x AS BIGINT)) END AS v FROM paper_sources),
+  s AS (SELECT paper_source_id, v, online_at, lag(v) OVER w AS o, lag(online_at) OVER w AS old_at, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY paper_id, source_name ORDER BY paper_source_id))
 SELECT paper_source_id, CASE WHEN v IS NOT NULL AND o IS NOT NULL AND v <> o THEN v > o ELSE coalesce(coalesce(online_at > old_at, online_at IS NOT NULL AND old_at IS NULL), false) END AS replaces FROM s WHERE k > 1"""
 
 
@@ -148,7 +144,7 @@ WITH r AS (SELECT record_id, nullif(regexp_replace(regexp_replace(trim(lower(doi
 SELECT key, max(record_id) AS record_id, arg_max(doi, record_id) AS doi, arg_max(version, record_id) AS version FROM w GROUP BY 1"""
 
 QUERIES = {
-    "upsert_replay": upsert_replay, "upsert_status_counts": upsert_status_counts, "version_decisions": version_decisions, "version_decisions_all": version_decisions_all, "embedding_queue": embedding_queue,
+    "upsert_replay": upsert_replay, "upsert_status_counts": upsert_status_counts, "version_decisions": version_decisions, "embedding_queue": embedding_queue,
     "missing_keyword_sources": missing_keyword_sources, "cascade_counts": cascade_counts, "shard_stats": shard_stats, "work_ids": work_ids, "event_windows": event_windows,
     "stream_ingest": stream_ingest,
 }

@@ -12,7 +12,8 @@ from litmill.sources.store import SnapshotTable
 def stream_preprints(spark: SparkSession, folder: str, schema, store: SnapshotTable, checkpoint: str, quarantine: str | None = None, files_a_batch: int = 100):
     """A query that merges every batch of new raw files into a snapshot table keyed by DOI and version.
 
-    A batch that is repeated after a failure merges the same rows again, so a record counts once. Records
+    Of the deliveries of a key the one with the largest record id stays, whichever batch brings it. A batch that is
+    repeated after a failure merges the same rows again, so a record counts once. Records
     with an error go to the quarantine folder, if there is one. Runs until all present files are read.
     """
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
@@ -22,7 +23,7 @@ def stream_preprints(spark: SparkSession, folder: str, schema, store: SnapshotTa
         if quarantine:
             rows.where("error is not null").write.mode("overwrite").json(f"{quarantine}/batch={number}")
         newest = rows.where("error is null and doi is not null").groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), "record_id").alias("r"))
-        store.merge(newest.select("key", "r.*").drop("error"))
+        store.merge(newest.select("key", "r.*").drop("error"), order=["record_id"])
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -14,7 +14,7 @@ from litmill.operators.queue import advance
 from litmill.operators.suggest import suggest_terms
 from litmill.operators.understand import route
 from litmill.operators.upsert import replay_records
-from litmill.sources import files
+from litmill.sources import adapters, files
 from litmill.sources.adapters import from_citations, from_preprints
 from litmill.sources.store import SnapshotTable
 
@@ -28,7 +28,9 @@ def one(spark, expr, value, kind="string"):
     [
         (ids.doi, "HTTPS://doi.org/10.1145/XXX", "10.1145/xxx"), (ids.doi, " doi:10.1 / a ", "10.1/a"), (ids.doi, "  ", None), (ids.doi, None, None),
         (ids.arxiv, "2301.12345v1", "2301.12345"), (ids.pubmed, " 12345678 ", "12345678"), (ids.pubmed, "none", None),
-        (ids.record_of_url, "https://x.org/view/17?a", "17"), (text.language, None, "en"), (text.language, " ENG ", "en"), (text.language, "fr", "fr"),
+        (ids.record_of_url, "https://x.org/view/17?a", "17"), (text.language, None, "en"), (text.language, "", "en"), (text.language, "EN", "en"), (text.language, " English ", "en"), (text.language, "中文", "zh"), (text.language, "英文", "en"), (text.language, " ENG ", "eng"), (text.language, "fr", "fr"),
+        (adapters.iso_day, " 2020-02-29T23:59:60.5Z", "2020-02-29"), (adapters.iso_day, "2020/01/02", "2020-01-02"), (adapters.iso_day, "20200102", "2020-01-02"), (adapters.iso_day, "2020-02-30", None),
+        (adapters.iso_day, "2020/01-02", None), (adapters.iso_day, "2020-01-02 10:00", None), (adapters.iso_day, "2020-01-02T10:00:00.1234567Z", None), (adapters.iso_day, None, None),
         (text.query_text, "  “deep  learning”?! ", "deep learning"), (text.author_like, "Ada Lovelace", True), (text.author_like, "Deep Learning", False),
         (text.correctable, "abc", False), (text.correctable, "1234", False), (text.usable_keyword, "Study", False), (text.author_key, "Doe, A. B.", "doe a b"),
     ],
