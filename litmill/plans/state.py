@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from litmill.functions import ids
 from litmill.functions.versions import newer
 from litmill.operators import queue
-from litmill.operators.upsert import replay_records, triggers
+from litmill.operators.upsert import choose_canonical, identity_groups, replay_records, source_errors, triggers
 from litmill.session import ensure_checkpoint_dir, table
 from litmill.sources.store import SnapshotTable, cascade_delete
 from litmill.streaming.ingest import stream_preprints, windowed_counts
@@ -36,6 +36,84 @@ def upsert_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return triggers(named).groupBy("status", "needs_vector", "needs_keywords").agg(F.count("*").alias("n"))
 
 
+#: Deliveries of three papers in their order, what each must come out as, and with which canonical source.
+GOLDEN = [
+    ("A", 1, "history", "1", "2026-04-01", "INSERT_NEW_PAPER", True, "history"), ("A", 2, "history", "2", "2026-04-03", "INSERT_UPDATE_SAME_SOURCE", False, "history"), ("A", 3, "citation", None, "2026-04-10", "INSERT_APPEND_SOURCE", True, "citation"),
+    ("B", 1, "history", "1", "2026-04-02", "INSERT_NEW_PAPER", True, "history"), ("B", 2, "history", "1", "2026-04-08", "INSERT_UPDATE_SAME_SOURCE", False, "history"), ("B", 3, "citation", None, "2026-04-05", "INSERT_APPEND_SOURCE", False, "history"),
+    ("C", 1, "citation", None, "2026-04-01", "INSERT_NEW_PAPER", True, "citation"), ("C", 2, "history", "1", "2026-04-08", "INSERT_APPEND_SOURCE", True, "history"), ("C", 3, "history", "2", "2026-04-09", "INSERT_UPDATE_SAME_SOURCE", False, "history"),
+    ("C", 4, "citation", None, "2026-03-30", "INSERT_SKIP_SAME_SOURCE", False, "history"),
+]
+
+
+def upsert_golden(spark: SparkSession, d: str) -> DataFrame:
+    """Known sequences of deliveries, replayed."""
+    rows = [(10 * i + k, "ABC".index(doi) * 10 + k, s, v, o, doi) for i, (doi, k, s, v, o, *_) in enumerate(GOLDEN)]
+    r = spark.createDataFrame(rows, "seq bigint, record_id bigint, source_name string, version string, online_at string, doi string").withColumn("online_at", F.col("online_at").cast("timestamp_ntz"))
+    return replay_records(r, {"doi": "doi"}).select("record_id", "status", "canonical_source", "canonical_changed")
+
+
+GOLDEN_SQL = "SELECT CAST(record_id AS BIGINT) AS record_id, status, canonical_source, canonical_changed FROM (VALUES " + ", ".join(
+    f"({'ABC'.index(doi) * 10 + k}, '{status}', '{source}', {str(changed).lower()})" for doi, k, _, _, _, status, changed, source in GOLDEN
+) + ") g(record_id, status, canonical_source, canonical_changed)"
+
+
+def upsert_forced(spark: SparkSession, d: str) -> DataFrame:
+    """Source records replayed in the mode upsert, where a record of the same source always replaces the one before."""
+    r = replay_records(_incoming(spark, d), {"doi": "doi", "arxiv": "arxiv_id", "record": "source_record_id"}, mode="upsert")
+    return r.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def update_only(spark: SparkSession, d: str) -> DataFrame:
+    """Every source record as an update of an empty store: none is allowed."""
+    r = replay_records(_incoming(spark, d), {"doi": "doi", "arxiv": "arxiv_id", "record": "source_record_id"}, mode="update")
+    return r.groupBy("status").agg(F.count("*").alias("n"))
+
+
+UPDATE_SQL = "SELECT 'UPDATE_NOT_ALLOWED_NON_SAME_SOURCE' AS status, count(*) AS n FROM paper_sources"
+
+
+def identity_components(spark: SparkSession, d: str) -> DataFrame:
+    """The group of source records that share a DOI or arXiv number, directly or through others."""
+    s = _incoming(spark, d)
+    values = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(c), F.lit(":"), c)) for c in ("doi", "arxiv_id")]))
+    return identity_groups(s.select("record_id", F.explode(values).alias("value")))
+
+
+COMPONENTS_SQL = r"""
+WITH RECURSIVE s AS (SELECT paper_source_id AS id, nullif(regexp_replace(regexp_replace(trim(lower(doi)), '^(?:https?://(?:dx\.)?doi\.org/|doi\.org/|doi:)', ''), '\s+', '', 'g'), '') AS doi,
+    nullif(regexp_replace(trim(arxiv_id), '[vV]\d+$', ''), '') AS arxiv FROM paper_sources),
+  l AS (SELECT id, 'doi:' || doi AS v FROM s WHERE doi IS NOT NULL UNION SELECT id, 'arxiv:' || arxiv FROM s WHERE arxiv IS NOT NULL),
+  e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM l a JOIN l b ON a.v = b.v),
+  r AS (SELECT DISTINCT id, id AS reach FROM l UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT id AS record_id, min(reach) AS grp FROM r GROUP BY 1"""
+
+
+def canonical_by_hand(spark: SparkSession, d: str) -> DataFrame:
+    """The first source of every paper, and now and then another paper's, chosen as canonical."""
+    s = table(spark, d, "paper_sources").select("paper_id", "paper_source_id")
+    first = s.groupBy("paper_id").agg(F.min("paper_source_id").alias("canonical_source_id"))
+    wrong = F.when(F.col("paper_id") % 7 == 0, F.col("canonical_source_id") + 1_000_000).otherwise(F.col("canonical_source_id"))
+    return choose_canonical(table(spark, d, "papers"), s, first.withColumn("canonical_source_id", wrong)).fillna(-1, ["canonical_source_id"])
+
+
+BY_HAND_SQL = """
+WITH f AS (SELECT paper_id, min(paper_source_id) AS first FROM paper_sources GROUP BY 1)
+SELECT f.paper_id, coalesce(CASE WHEN f.paper_id % 7 <> 0 THEN first ELSE p.canonical_source_id END, -1) AS canonical_source_id,
+  CASE WHEN p.paper_id IS NULL THEN 'no such paper' WHEN f.paper_id % 7 = 0 THEN 'no source of the paper' END AS error FROM f LEFT JOIN papers p ON p.paper_id = f.paper_id"""
+
+
+def source_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Source records checked against the sources that may be stored, with the platform's name as the key's source now and then."""
+    s = table(spark, d, "paper_sources").select("source_name", F.when(F.col("paper_source_id") % 10 == 0, F.col("platform")).otherwise(F.col("source_name")).alias("key"))
+    return source_errors(s, "source_name", "key", ["harbour_history", "harbour_daily", "medindex"]).groupBy("error").agg(F.count("*").alias("n"))
+
+
+CHECKS_SQL = """
+WITH s AS (SELECT source_name AS p, CASE WHEN paper_source_id % 10 = 0 THEN platform ELSE source_name END AS k FROM paper_sources)
+SELECT CASE WHEN coalesce(k, '') = '' THEN 'key without source' WHEN coalesce(p, '') = '' THEN 'payload without source' WHEN k <> p THEN 'sources differ: ' || k || ', ' || p
+  WHEN k NOT IN ('harbour_history', 'harbour_daily', 'medindex') THEN 'unknown source: ' || k END AS error, count(*) AS n FROM s GROUP BY 1"""
+
+
 def _decisions(sources: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
@@ -146,9 +224,10 @@ SELECT key, max(record_id) AS record_id, arg_max(doi, record_id) AS doi, arg_max
 QUERIES = {
     "upsert_replay": upsert_replay, "upsert_status_counts": upsert_status_counts, "version_decisions": version_decisions, "embedding_queue": embedding_queue,
     "missing_keyword_sources": missing_keyword_sources, "cascade_counts": cascade_counts, "shard_stats": shard_stats, "work_ids": work_ids, "event_windows": event_windows,
-    "stream_ingest": stream_ingest,
+    "stream_ingest": stream_ingest, "upsert_golden": upsert_golden, "upsert_forced": upsert_forced, "update_only": update_only, "identity_components": identity_components,
+    "canonical_by_hand": canonical_by_hand, "source_checks": source_checks,
 }
 SQL = {
     "version_decisions": VERSIONS_SQL, "embedding_queue": QUEUE_SQL, "missing_keyword_sources": MISSING_SQL, "cascade_counts": CASCADE_SQL, "shard_stats": SHARD_SQL,
-    "event_windows": WINDOWS_SQL, "stream_ingest": STREAM_SQL,
+    "event_windows": WINDOWS_SQL, "stream_ingest": STREAM_SQL, "upsert_golden": GOLDEN_SQL, "update_only": UPDATE_SQL, "identity_components": COMPONENTS_SQL, "canonical_by_hand": BY_HAND_SQL, "source_checks": CHECKS_SQL,
 }
