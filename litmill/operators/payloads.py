@@ -89,13 +89,6 @@ def route_shards(manifest: DataFrame, corpus: str, routes: dict[str, list[int]],
     return out if writable is None else out.where(F.col("writable") == writable)
 
 
-def citation_edges(articles: DataFrame, known: DataFrame) -> DataFrame:
-    """(work_id, cited) of cited references: the work of a known PubMed id, else a tag with the DOI or the citation's text."""
-    each = articles.select("work_id", F.explode("references").alias("r"))
-    j = each.withColumn("pubmed_id", F.col("r.pubmed_id")).join(known.select("pubmed_id", F.col("work_id").alias("cited_work")).dropDuplicates(["pubmed_id"]), "pubmed_id", "left")
-    return j.select("work_id", F.coalesce("cited_work", F.concat(F.lit("DOI:"), F.col("r.doi")), F.concat(F.lit("CITATION:"), F.col("r.citation"))).alias("cited")).where("cited is not null")
-
-
 def notice(routed: DataFrame) -> DataFrame:
     """What to tell about a routed query (operators.understand): a message and an action."""
     return routed.withColumns(

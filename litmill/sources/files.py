@@ -1,4 +1,4 @@
-"""File sources and sinks: JSON, JSON lines, XML articles, shards with a manifest, quarantine."""
+"""File sources and sinks: JSON, JSON lines, shards with a manifest, quarantine."""
 
 from __future__ import annotations
 
@@ -6,19 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-ARTICLE_SCHEMA = """
-MedlineCitation struct<
-  PMID: string,
-  Article: struct<
-    ArticleTitle: string,
-    Abstract: struct<AbstractText: array<string>>,
-    Journal: struct<Title: string, JournalIssue: struct<PubDate: struct<Year: string, Month: string, Day: string, MedlineDate: string>>>,
-    AuthorList: struct<Author: array<struct<LastName: string, ForeName: string, CollectiveName: string>>>,
-    Language: string>,
-  KeywordList: struct<Keyword: array<string>>>,
-PubmedData struct<ArticleIdList: struct<ArticleId: array<struct<_VALUE: string, _IdType: string>>>>
-"""
-
+from litmill.sources.store import SnapshotTable
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """One object a file, in all files below a path; broken ones keep their text in ``_corrupt_record``."""
@@ -44,26 +32,27 @@ def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
     return parsed.withColumn("error", F.when(broken, "line is no JSON"))
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Literature XML (plain or gzip), one row an article, flattened to the document contract."""
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE_SCHEMA).load(path)
-    article = "MedlineCitation.Article"
-    date = f"{article}.Journal.JournalIssue.PubDate"
-    doi = F.get(F.filter("PubmedData.ArticleIdList.ArticleId", lambda x: x["_IdType"] == "doi"), 0)["_VALUE"]
-    months = "janfebmaraprmayjunjulaugsepoctnovdec"
-    word = F.lower(F.substring(F.col(f"{date}.Month"), 1, 3))
-    month = F.when(F.col(f"{date}.Month").rlike(r"^\d+$"), F.lpad(F.col(f"{date}.Month"), 2, "0")).otherwise(
-        F.when(F.instr(F.lit(months), word) > 0, F.lpad(((F.instr(F.lit(months), word) + 2) / 3).cast("int").cast("string"), 2, "0"))
-    )
-    year = F.coalesce(F.col(f"{date}.Year"), F.nullif(F.regexp_extract(F.col(f"{date}.MedlineDate"), r"\d{4}", 0), F.lit("")))
-    name = lambda a: F.coalesce(a["CollectiveName"], F.concat_ws(" ", a["ForeName"], a["LastName"]))
-    return raw.select(
-        F.col("MedlineCitation.PMID").alias("pubmed_id"), F.lower(doi).alias("doi"), F.col(f"{article}.ArticleTitle").alias("title"),
-        F.array_join(f"{article}.Abstract.AbstractText", "\n").alias("abstract"), F.col(f"{article}.Journal.Title").alias("venue"),
-        F.col(f"{article}.Language").alias("language"), F.transform(f"{article}.AuthorList.Author", name).alias("authors"),
-        F.col("MedlineCitation.KeywordList.Keyword").alias("keywords"),
-        F.concat_ws("-", year, month, F.when(month.isNotNull(), F.lpad(F.col(f"{date}.Day"), 2, "0"))).alias("published_at"),
-    )
+def line(lines: DataFrame, number: int | None = None) -> DataFrame:
+    """The line with a number, counted from nought over all lines of its file, or each file's first that is not blank."""
+    if number is not None:
+        return lines.where(F.col("line_number") == number + 1)
+    first = lines.groupBy("file").agg(F.min("line_number").alias("line_number"))
+    return lines.join(first, ["file", "line_number"], "left_semi")
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line_number, record, error) of .json and .jsonl files by their ending; other files are errors of their own."""
+    ending = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if ending == "jsonl" or not ending:
+        lines = parse_lines(read_json_lines(spark, path), schema)
+        if ending:
+            return lines.select("file", "line_number", "record", "error")
+        objects = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.lit(1).alias("line_number"), "value")
+        return lines.unionByName(parse_lines(objects, schema)).select("file", "line_number", "record", "error")
+    if ending == "json":
+        objects = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit(1).alias("line_number"), "value")
+        return parse_lines(objects, schema).select("file", "line_number", "record", "error")
+    raise ValueError(f"no reader for .{ending}: {path}")
 
 
 def write_shards(df: DataFrame, path: str, id_col: str, shard_rows: int, batch_rows: int) -> DataFrame:
@@ -78,6 +67,40 @@ def write_shards(df: DataFrame, path: str, id_col: str, shard_rows: int, batch_r
     return written.groupBy("shard").agg(F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id"), F.count("*").alias("n_rows"))
 
 
+MANIFEST = "shard int, path string, min_id bigint, max_id bigint, n_rows bigint, dims int, writable boolean"
+
+
+class Manifest:
+    """What is known of the shards of an index, kept as a snapshot table."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.table = spark, SnapshotTable(spark, root, "manifest", ["shard"], buckets=1)
+
+    def shards(self) -> DataFrame:
+        return self.table.read() if self.table.exists() else self.spark.createDataFrame([], MANIFEST)
+
+    def add(self, shards: DataFrame) -> int:
+        """New shards; one that is there already is an error."""
+        known = shards.join(self.shards().select("shard"), "shard", "left_semi").select("shard").limit(5).collect()
+        if known:
+            raise ValueError(f"shards are there already: {[r[0] for r in known]}")
+        return self.table.merge(self._full(shards))
+
+    def update(self, shards: DataFrame) -> int:
+        """Changed columns of known shards; those not named stay, unknown shards are left out."""
+        named = [c for c in shards.columns if c != "shard"]
+        j = self.shards().alias("a").join(shards.alias("b"), "shard")
+        return self.table.merge(j.select("shard", *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) if c in named else F.col(f"a.{c}") for c in self.shards().columns if c != "shard"]))
+
+    def totals(self) -> dict:
+        r = self.shards().agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0)), F.max("max_id")).first()
+        return {"shards": r[0], "rows": r[1], "max_id": r[2]}
+
+    def _full(self, shards: DataFrame) -> DataFrame:
+        kinds = dict(x.strip().split(" ") for x in MANIFEST.split(","))
+        return shards.select(*[(F.col(c) if c in shards.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
 def split_errors(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows without error; those with one are written as JSON lines if a path is given."""
     if path:

@@ -157,13 +157,5 @@ def test_files(spark, tmp_path):
     assert len(lines) == 3
     (tmp_path / "in/o.json").write_text(json.dumps({"a": 5}, indent=1))
     assert files.read_json(spark, str(tmp_path / "in")).first().a == 5
-    (tmp_path / "x.xml").write_text(
-        """<S><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText>A</AbstractText></Abstract>
-        <Journal><Title>J</Title><JournalIssue><PubDate><Year>2020</Year><Month>May</Month><Day>6</Day></PubDate></JournalIssue></Journal>
-        <AuthorList><Author><LastName>Doe</LastName><ForeName>Ann</ForeName></Author></AuthorList><Language>eng</Language></Article></MedlineCitation>
-        <PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/X</ArticleId></ArticleIdList></PubmedData></PubmedArticle></S>"""
-    )
-    r = files.read_articles(spark, str(tmp_path / "x.xml")).first()
-    assert (r.pubmed_id, r.doi, r.title, r.published_at, r.authors) == ("7", "10.1/x", "T", "2020-05-06", ["Ann Doe"])
     m = files.write_shards(spark.range(5, 30).withColumnRenamed("id", "k"), str(tmp_path / "s"), "k", 10, 4).orderBy("shard").collect()
     assert [(r.shard, r.min_id, r.max_id, r.n_rows) for r in m] == [(0, 5, 14, 10), (1, 15, 24, 10), (2, 25, 29, 5)]
