@@ -65,6 +65,22 @@ def result_rows(hits: DataFrame, papers: DataFrame, sources: DataFrame, authors:
     )
 
 
+def full_papers(papers: DataFrame, sources: DataFrame, authors: DataFrame, keywords: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Papers with ``sources`` (undated first, then newest, then by id), ``authors``, ``keywords`` (by type and spelling) and ``references`` (in their order) as arrays of structs.
+
+    Each child is reduced to one row per paper before the join; a paper's children must fit a row. Papers without children have null lists.
+    """
+    inner = [c for c in sources.columns if c != "paper_id"]
+    order = F.struct(F.col("online_at").isNotNull().alias("a"), (-F.unix_micros(F.coalesce(F.col("online_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")))).alias("b"), F.col("paper_source_id").alias("c"))
+    s = sources.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*inner).alias("r")))), lambda x: x["r"]).alias("sources"))
+    k = keywords.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("keyword_type", "keyword", "weight", "source"))).alias("keywords"))
+    out = papers.join(s, "paper_id", "left").join(authors.select("paper_id", "authors"), "paper_id", "left").join(k, "paper_id", "left")
+    if references is not None:
+        r = references.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("reference_order", "reference_raw"))).alias("references"))
+        out = out.join(r, "paper_id", "left")
+    return out
+
+
 def embed(rows: DataFrame, id_col: str, text_col: str, dims: int = DIMS, seed: int = 0) -> DataFrame:
     """(id, embedding) of unit length from hashed words: a stand-in where no model is at hand. Texts without words are left out."""
     words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != "")

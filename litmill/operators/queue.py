@@ -27,9 +27,14 @@ def advance(status: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def candidates(status: DataFrame, most_tries: int = 3) -> DataFrame:
-    """Pending and failed papers that may be tried again, to be taken in the order of updated_at."""
-    return status.where(F.col("status").isin("pending", "failed") & (F.col("attempt_count") < most_tries))
+def candidates(
+    status: DataFrame, most_tries: int = 3, states: tuple[str, ...] = ("pending", "failed"), sources: list[str] | None = None, page: int | None = None, size: int = 100, key: str = "paper_id"
+) -> DataFrame:
+    """What may be tried again, of some sources if they are named; a page of ``size`` in the order of updated_at, those without first, then of the key."""
+    out = status.where(F.col("status").isin(*states) & (F.col("attempt_count") < most_tries))
+    if sources is not None:
+        out = out.where(F.col("source_name").isin(sources))
+    return out if page is None else out.orderBy(F.asc_nulls_first("updated_at"), key).offset(page * size).limit(size)
 
 
 def missing_sources(papers: DataFrame, keywords: DataFrame, wanted: list[str]) -> DataFrame:

@@ -151,3 +151,23 @@ def route(queries: DataFrame, authors: DataFrame, keywords: DataFrame) -> DataFr
         "query_id", "query", way.alias("route"), "author", F.col("score").alias("author_score"), "suggestion", F.col("confidence").alias("correction_score"),
         F.when(F.col("applied"), F.col("suggestion")).alias("corrected_query"),
     )
+
+
+def smart_search(queries: DataFrame, papers: DataFrame, authors: DataFrame, keywords: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, route, paper_id, score): the papers of the author that a query names, newest first, else those nearest to its text, corrected where that is sure.
+
+    ``vectors`` has (id, embedding) of the papers, made as payloads.embed does. Blank queries find nothing.
+    """
+    from litmill.operators.latest import top_per_key
+    from litmill.operators.nearest import nearest
+    from litmill.operators.payloads import embed
+
+    routed = settle(route(queries, authors, keywords))
+    named = routed.where("route = 'metadata_author'").select("query_id", "route", author_key(F.col("author")).alias("key"))
+    written = authors.select("paper_id", F.explode("authors.name").alias("name")).select("paper_id", author_key(F.col("name")).alias("key")).distinct()
+    dated = named.join(written, "key").join(papers.select("paper_id", "online_at"), "paper_id")
+    by_author = top_per_key(dated, ["query_id"], [F.desc_nulls_last("online_at"), F.desc("paper_id")], k).select("query_id", "route", "paper_id", F.lit(1.0).alias("score"))
+    asked = routed.where("route in ('vector', 'author_suggestion')").select(F.col("query_id").cast("long").alias("query_id"), "route", F.coalesce("corrected_query", "query").alias("text"))
+    hits = nearest(vectors, embed(asked, "query_id", "text").withColumnRenamed("id", "query_id"), k)
+    by_vector = hits.join(asked.select("query_id", "route"), "query_id").select("query_id", "route", F.col("id").alias("paper_id"), "score")
+    return by_author.unionByName(by_vector)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["moments", "records", "analytics", "retrieval", "state", "results"]
+MODULES = ["moments", "records", "analytics", "retrieval", "state", "results", "operations"]
 
 
 def core_queries() -> dict:

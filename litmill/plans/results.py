@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from litmill.operators.latest import top_per_key
 from litmill.operators.nearest import nearest
 from litmill.operators.payloads import embed, fan_out, notice, result_rows
+from litmill.plans.records import _many_sql
 from litmill.plans.retrieval import understand_queries
 from litmill.session import table
 from litmill.sources import adapters
 
 
 def payload_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each table that the citation records give."""
+    """Rows of each table that the raw records of both kinds give."""
     out = None
-    for name, df in fan_out(adapters.from_citations(table(spark, d, "citation_records"))).items():
-        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = part if out is None else out.unionByName(part)
+    for kind, records in (("citation", adapters.from_citations(table(spark, d, "citation_records"))), ("preprint", adapters.from_preprints(table(spark, d, "preprint_records")))):
+        for name, df in fan_out(records).items():
+            part = df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("table_name"), "n")
+            out = part if out is None else out.unionByName(part)
     return out
 
 
+_LISTED = lambda k, comma: _many_sql(k, comma)
+PAYLOAD_SQL = f"""
+WITH c AS (SELECT CAST(len(list_filter({_LISTED("citation_keywords", True)}, lambda x: trim(x) <> '')) AS BIGINT) AS k, CAST(len(list_filter({_LISTED("citation_reference", False)}, lambda x: trim(x) <> '')) AS BIGINT) AS r
+    FROM citation_records WHERE trim(coalesce(meta['citation_title'][1], '')) <> ''),
+  p AS (SELECT CASE WHEN coalesce(trim(category), '') <> '' THEN 1 ELSE 0 END AS k FROM preprint_records WHERE coalesce(trim(title), '') <> ''),
+  n AS (SELECT 'citation' AS kind, (SELECT count(*) FROM c) AS n UNION ALL SELECT 'preprint', (SELECT count(*) FROM p))
+SELECT kind, t AS table_name, n FROM n, (VALUES ('papers'), ('paper_sources'), ('paper_source_metadata'), ('paper_author_affiliation')) x(t)
+UNION ALL SELECT 'citation', 'paper_keywords', CAST(coalesce(sum(k), 0) AS BIGINT) FROM c UNION ALL SELECT 'citation', 'paper_references', CAST(coalesce(sum(r), 0) AS BIGINT) FROM c
+UNION ALL SELECT 'preprint', 'paper_keywords', CAST(coalesce(sum(k), 0) AS BIGINT) FROM p UNION ALL SELECT 'preprint', 'paper_references', CAST(0 AS BIGINT)"""
+
+
 def payload_references(spark: SparkSession, d: str) -> DataFrame:
     r = fan_out(adapters.from_citations(table(spark, d, "citation_records")))["paper_references"]
     return r.select("record_id", F.col("reference_order").cast("long").alias("reference_order"), "reference_raw")
@@ -97,4 +110,4 @@ QUERIES = {
     "payload_counts": payload_counts, "payload_references": payload_references, "display_rows": display_rows, "text_vector_search": text_vector_search,
     "query_notices": query_notices, "ranked_text_search": ranked_text_search,
 }
-SQL = {"payload_references": REFERENCES_SQL, "display_rows": DISPLAY_SQL, "ranked_text_search": OKAPI_SQL}
+SQL = {"payload_counts": PAYLOAD_SQL, "payload_references": REFERENCES_SQL, "display_rows": DISPLAY_SQL, "ranked_text_search": OKAPI_SQL}

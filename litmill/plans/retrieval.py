@@ -189,11 +189,15 @@ WITH a AS (SELECT paper_id, {_GRAMS("canonical_title")} AS g, {_GRAMS("canonical
 SELECT paper_id, CASE WHEN x + y - n > 0 THEN round(n / (x + y - n), 6) ELSE 0.0 END AS score FROM c"""
 
 
+def asked_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Author names and titles of every fiftieth paper as queries."""
+    names = table(spark, d, "paper_author_affiliation").where("paper_id % 50 = 0").select((F.col("paper_id") + 1_000_000_000).cast("int").alias("query_id"), F.get("authors", F.lit(0))["name"].alias("query"))
+    return _titles(spark, d).unionByName(names.where("query is not null"))
+
+
 def understand_queries(spark: SparkSession, d: str) -> DataFrame:
     """Author names and titles of every fiftieth paper, routed."""
-    names = table(spark, d, "paper_author_affiliation").where("paper_id % 50 = 0").select((F.col("paper_id") + 1_000_000_000).cast("int").alias("query_id"), F.get("authors", F.lit(0))["name"].alias("query"))
-    asked = _titles(spark, d).unionByName(names.where("query is not null"))
-    return route(asked, table(spark, d, "paper_author_affiliation"), table(spark, d, "paper_keywords"))
+    return route(asked_queries(spark, d), table(spark, d, "paper_author_affiliation"), table(spark, d, "paper_keywords"))
 
 
 def query_phrases(spark: SparkSession, d: str) -> DataFrame:

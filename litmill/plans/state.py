@@ -196,6 +196,16 @@ def work_ids(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("valid", F.col("work_id").rlike("^W[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"))
 
 
+def work_id_checks(spark: SparkSession, d: str) -> DataFrame:
+    """How many work ids there are, how many differ, how many have the right form, and how many begin with their paper's time."""
+    w = work_ids(spark, d).join(table(spark, d, "papers").select("paper_id", F.unix_millis(F.col("created_at").cast("timestamp")).alias("ms")), "paper_id")
+    time = F.conv(F.concat(F.substring("work_id", 2, 8), F.substring("work_id", 11, 4)), 16, 10).cast("long")
+    return w.agg(F.count("*").alias("n"), F.count_distinct("work_id").alias("different"), F.sum(F.col("valid").cast("long")).alias("valid"), F.sum((time == F.col("ms")).cast("long")).alias("timed"))
+
+
+WORK_IDS_SQL = "SELECT count(*) AS n, count(*) AS different, count(created_at) AS valid, count(created_at) AS timed FROM papers"
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     out = windowed_counts(table(spark, d, "events"))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -223,11 +233,11 @@ SELECT key, max(record_id) AS record_id, arg_max(doi, record_id) AS doi, arg_max
 
 QUERIES = {
     "upsert_replay": upsert_replay, "upsert_status_counts": upsert_status_counts, "version_decisions": version_decisions, "embedding_queue": embedding_queue,
-    "missing_keyword_sources": missing_keyword_sources, "cascade_counts": cascade_counts, "shard_stats": shard_stats, "work_ids": work_ids, "event_windows": event_windows,
+    "missing_keyword_sources": missing_keyword_sources, "cascade_counts": cascade_counts, "shard_stats": shard_stats, "work_ids": work_ids, "work_id_checks": work_id_checks, "event_windows": event_windows,
     "stream_ingest": stream_ingest, "upsert_golden": upsert_golden, "upsert_forced": upsert_forced, "update_only": update_only, "identity_components": identity_components,
     "canonical_by_hand": canonical_by_hand, "source_checks": source_checks,
 }
 SQL = {
     "version_decisions": VERSIONS_SQL, "embedding_queue": QUEUE_SQL, "missing_keyword_sources": MISSING_SQL, "cascade_counts": CASCADE_SQL, "shard_stats": SHARD_SQL,
-    "event_windows": WINDOWS_SQL, "stream_ingest": STREAM_SQL, "upsert_golden": GOLDEN_SQL, "update_only": UPDATE_SQL, "identity_components": COMPONENTS_SQL, "canonical_by_hand": BY_HAND_SQL, "source_checks": CHECKS_SQL,
+    "event_windows": WINDOWS_SQL, "stream_ingest": STREAM_SQL, "upsert_golden": GOLDEN_SQL, "work_id_checks": WORK_IDS_SQL, "update_only": UPDATE_SQL, "identity_components": COMPONENTS_SQL, "canonical_by_hand": BY_HAND_SQL, "source_checks": CHECKS_SQL,
 }
