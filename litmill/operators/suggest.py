@@ -47,23 +47,35 @@ def by_token(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
     return hit.withColumn("score", score).where("score is not null").groupBy("query_id", "keyword_key").agg(F.max("score").alias("score"))
 
 
+def _rarest_first(sets: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
+    """(key, g): each set's grams, rarest in the vocabulary first, then by spelling."""
+    each = sets.select(key, F.explode("g").alias("gram")).join(frequency, "gram", "left")
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))), lambda x: x["gram"]).alias("g"))
+
+
 def by_trigram(vocabulary: DataFrame, queries: DataFrame, least: float = 0.35) -> DataFrame:
-    """(query_id, keyword_key, score): keywords that share ``least`` of all grams with a query; an inverted join, no pairs without a common gram."""
-    words = vocabulary.select("keyword_key").distinct().withColumn("g", trigrams(F.col("keyword_key"))).withColumn("n", F.size("g"))
-    asked = queries.select("query_id", trigrams(F.col("query")).alias("g")).withColumn("m", F.size("g"))
-    common = (
-        asked.select("query_id", "m", F.explode("g").alias("gram"))
-        .join(words.select("keyword_key", "n", F.explode("g").alias("gram")), "gram")
-        .groupBy("query_id", "keyword_key", "m", "n").agg(F.count("*").alias("c"))
-    )
-    return common.withColumn("score", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).where(F.col("score") >= least).select("query_id", "keyword_key", "score")
-
-
-def suggest_terms(keywords: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """The best keywords of each query: by score, then papers, average weight and spelling."""
+    """(query_id, keyword_key, score): keywords that share ``least`` of all grams with a query.
+
+    Two sets that are that alike share a gram among the rarest of each, all but ``least`` of them and one more, so
+    only these are joined and the pairs compared whole: common grams, which most sets have, join nothing.
+    """
+    words = vocabulary.select("keyword_key").distinct().withColumn("g", trigrams(F.col("keyword_key"))).where("size(g) > 0")
+    asked = queries.select("query_id", trigrams(F.col("query")).alias("g")).where("size(g) > 0")
+    frequency = words.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    first = lambda c: F.explode(F.slice(c, 1, F.size(c) - F.ceil(F.size(c) * least - 1e-9).cast("int") + 1)).alias("gram")
+    w = _rarest_first(words, "keyword_key", frequency).withColumnRenamed("g", "h")
+    a = _rarest_first(asked, "query_id", frequency)
+    near = a.select("query_id", "g", first("g")).join(w.select("keyword_key", "h", first("h")), "gram").dropDuplicates(["query_id", "keyword_key"])
+    common = F.size(F.array_intersect("g", "h"))
+    score = common / (F.size("g") + F.size("h") - common)
+    return near.select("query_id", "keyword_key", score.alias("score")).where(F.col("score") >= least)
+
+
+def suggest_terms(keywords: DataFrame, queries: DataFrame, limit: int = 20, vocabulary: DataFrame | None = None) -> DataFrame:
+    """The best keywords of each query: by score, then papers, average weight and spelling. ``vocabulary`` is that of distinct_keywords, if it is at hand."""
     from litmill.operators.latest import top_per_key
 
-    vocabulary = distinct_keywords(keywords)
+    vocabulary = distinct_keywords(keywords) if vocabulary is None else vocabulary
     found = by_token(vocabulary, queries).unionByName(by_trigram(vocabulary, queries)).groupBy("query_id", "keyword_key").agg(F.max("score").alias("score"))
     per_key = vocabulary.groupBy("keyword_key").agg(
         F.min("display").alias("display"), F.sum("docs").alias("docs"), F.round(F.sum(F.col("avg_weight") * F.col("docs")) / F.sum("docs"), 6).alias("avg_weight")

@@ -39,10 +39,10 @@ def author_routes(authors: DataFrame, queries: DataFrame) -> DataFrame:
     return out.select("query_id", "author", F.round(score, 4).alias("score"), ambiguous.alias("ambiguous"))
 
 
-def corrections(keywords: DataFrame, queries: DataFrame) -> DataFrame:
+def corrections(keywords: DataFrame, queries: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query_id, suggestion, confidence, applied): the keyword most like the query; an equal one is no correction."""
     asked = queries.where(correctable(F.col("query")))
-    close = suggest_terms(keywords, asked.select("query_id", "query")).select("query_id", "display", "keyword_key", "docs").join(asked, "query_id")
+    close = suggest_terms(keywords, asked.select("query_id", "query"), vocabulary=vocabulary).select("query_id", "display", "keyword_key", "docs").join(asked, "query_id")
     scored = close.withColumn("confidence", F.when(F.lower("query") == F.col("keyword_key"), 1.0).otherwise(F.round(ratio(F.lower("query"), F.col("keyword_key")), 4)))
     best = best_per_key(scored.where(F.col("confidence") >= SUGGEST), ["query_id"], F.struct("confidence", "docs", "keyword_key"), ["display", "confidence"])
     casing = F.lower("query") == F.col("query")
@@ -103,7 +103,7 @@ def phrases(queries: DataFrame, most: int = 5) -> DataFrame:
     return queries.where("query is not null").select("query_id", "query").mapInPandas(run, f"query_id {kind}, position int, phrase string, start int, end int")
 
 
-def phrase_corrections(keywords: DataFrame, queries: DataFrame) -> DataFrame:
+def phrase_corrections(keywords: DataFrame, queries: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query_id, suggestion, confidence, applied) of long queries, and of those with connectors or marks, by their phrases.
 
     Sure corrections of phrases are put in their places; where there are none, a likely one gives the confidence alone.
@@ -113,7 +113,7 @@ def phrase_corrections(keywords: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.where(long)
     each = phrases(asked).where(~author_like(F.col("phrase")))
     distinct = each.select(F.col("phrase").alias("query")).distinct().withColumn("query_id", F.col("query"))
-    fixed = corrections(keywords, distinct).where((F.col("confidence") >= SUGGEST_PHRASE) & (F.col("confidence") < 1))
+    fixed = corrections(keywords, settle(distinct), vocabulary).where((F.col("confidence") >= SUGGEST_PHRASE) & (F.col("confidence") < 1))
     hits = each.join(fixed.withColumnRenamed("query_id", "phrase"), "phrase")
     per = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "suggestion", "confidence", "applied"))).alias("hits")).join(asked.select("query_id", "query"), "query_id")
     # The phrases do not overlap, so all sure ones are spliced in, from the left.
@@ -135,10 +135,12 @@ def route(queries: DataFrame, authors: DataFrame, keywords: DataFrame) -> DataFr
     A sure author by metadata, a likely one as a suggestion, else by vector with the corrected text.
     Blank queries have the route none.
     """
-    asked = queries.select("query_id", query_text(F.col("query")).alias("query"))
+    # Read by every step below, so written once: the queries and the distinct keywords.
+    asked = settle(queries.select("query_id", query_text(F.col("query")).alias("query")))
+    vocabulary = settle(distinct_keywords(keywords))
     a = author_routes(authors, asked.where(author_like(F.col("query"))))
-    by_phrase = settle(phrase_corrections(keywords, asked))
-    c = by_phrase.unionByName(corrections(keywords, asked.join(by_phrase, "query_id", "left_anti")))
+    by_phrase = settle(phrase_corrections(keywords, asked, vocabulary))
+    c = by_phrase.unionByName(corrections(keywords, asked.join(by_phrase, "query_id", "left_anti"), vocabulary))
     j = asked.join(a, "query_id", "left").join(c, "query_id", "left")
     clear = ~F.coalesce("ambiguous", F.lit(False))
     way = (
