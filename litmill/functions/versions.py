@@ -25,6 +25,15 @@ def version_key(c: Column) -> Column:
     return F.when(v.rlike(_FORM), F.struct(numbers.alias("release"), stage.alias("stage"), number(part(3)).alias("pre"), after.alias("post"), before_dev.alias("dev")))
 
 
+def version_text(c: Column) -> Column:
+    """A text that sorts as the versions do, for code that compares values one by one; null for null or unreadable versions."""
+    k = version_key(c)
+    number = lambda x: F.lpad((x + 1).cast("decimal(20,0)").cast("string"), 20, "0")
+    release = F.array_join(F.transform(k["release"], lambda x: F.lpad(x.cast("string"), 19, "0")), ".")
+    # A release that another goes on from is followed by a blank, which sorts before the full stop.
+    return F.when(k.isNotNull(), F.concat_ws(" ", release, k["stage"].cast("string"), number(k["pre"].cast("decimal(20,0)")), number(k["post"].cast("decimal(20,0)")), number(k["dev"].cast("decimal(20,0)"))))
+
+
 def newer(new: Column, old: Column, new_date: Column, old_date: Column) -> Column:
     """Whether a record replaces another: by version where both can be read and differ, else by a later date.
 

@@ -2,7 +2,8 @@
 
 Rows never meet queries in a join: a block of queries is a small matrix that is sent to the tasks, each
 Arrow batch is multiplied with it, and only the batch's best rows leave the task. Larger query sets
-take more blocks, each of bounded size.
+take more blocks, each of bounded size; the best rows of every few blocks are written before the next
+are begun, so that neither the plan nor what the driver holds grows with the number of queries.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmill.operators.latest import top_per_key
+from litmill.session import settle
 
 #: Queries of a block. With vectors of 4,096 numbers a block takes 64 MB.
 BLOCK = 2048
+#: Blocks in one plan.
+TOGETHER = 8
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -70,14 +74,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, group: str | None =
         if held:
             yield held
 
+    best = lambda df: top_per_key(df, ["query_id", *([group] if group else [])], [F.desc("score"), F.asc("id")], k)
+    done, sent = None, []
     for held in blocks():
+        if len(sent) == TOGETHER:
+            # Queries of one block are in no other, so what is written is final.
+            part = settle(best(found))
+            done = part if done is None else settle(done.unionByName(part))
+            for x in sent:
+                x.unpersist()
+            found, sent = None, []
         m = np.array([r[1] for r in held], dtype=np.float64)
         shared = spark.sparkContext.broadcast(_unit(m) if metric == "cosine" else m)
+        sent.append(shared)
         part = rows.mapInPandas(search(shared, np.array([r[0] for r in held], dtype=np.int64)), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
-    return top_per_key(found, ["query_id", *([group] if group else [])], [F.desc("score"), F.asc("id")], k)
+    return best(found) if done is None else done.unionByName(best(found))
 
 
 def prioritised(hits: DataFrame, priority: dict[int, int], k: int) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.functions.versions import version_key
+from litmill.functions.versions import version_text
 from litmill.operators.components import components
 
 MODES = ("insert", "update", "upsert")
@@ -43,8 +43,8 @@ class Replay:
     def __init__(self, mode: str, auto: bool = True) -> None:
         self.mode, self.auto, self.papers = mode, auto, []
 
-    def step(self, record_id: int, source: str, ids: set[str], rank: int | None, online: int | None, seq: int, chosen: str | None = None) -> tuple:
-        """(status, paper_key, canonical_source, canonical_changed) of the next record; rank is the position of its version."""
+    def step(self, record_id: int, source: str, ids: set[str], rank: str | None, online: int | None, seq: int, chosen: str | None = None) -> tuple:
+        """(status, paper_key, canonical_source, canonical_changed) of the next record; rank is a text that sorts as the versions do."""
         here = {"ids": ids, "rank": rank, "online": online, "at": seq}
         same = next((p for p in self.papers if source in p["sources"] and ids & p["sources"][source]["ids"]), None)
         shared = {i for i in ids if not i.startswith("record:")}
@@ -88,7 +88,7 @@ def _run(mode: str, auto: bool):
             for grp, seq, record_id, source, ids, rank, online, chosen in df[["grp", "seq", "record_id", "source_name", "ids", "rank", "online", "chosen"]].itertuples(index=False, name=None):
                 if grp != group or state is None:
                     group, state = grp, Replay(mode, auto)
-                out.append((seq, record_id, *state.step(record_id, source, set(ids), None if rank != rank else int(rank), None if online != online else int(online), seq, chosen)))
+                out.append((seq, record_id, *state.step(record_id, source, set(ids), rank, None if online != online else int(online), seq, chosen)))
             yield pd.DataFrame(out, columns=["seq", "record_id", "status", "paper_key", "canonical_source", "canonical_changed"])
 
     return run
@@ -110,26 +110,16 @@ def replay_records(records: DataFrame, id_kinds: dict[str, str], mode: str = "in
 
     ids = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), tag(k, c)) for k, c in id_kinds.items()]))
     r = records.select(
-        "seq", "record_id", "source_name", version_key(F.col("version")).alias("v"),
+        "seq", "record_id", "source_name", version_text(F.col("version")).alias("rank"),
         F.unix_micros(F.col("online_at").cast("timestamp")).alias("online"), ids.alias("ids"), (F.col(chosen) if chosen else F.lit(None).cast("string")).alias("chosen"),
     )
-    # The position among all distinct versions stands for the version, so that the replay compares numbers.
-    versions = r.select("v").where("v is not null").distinct()
-    ordered = versions.withColumn("rank", F.dense_rank().over(_all_by("v")))
-    r = r.join(F.broadcast(ordered) if ordered.count() <= 100_000 else ordered, "v", "left").drop("v")
     groups = identity_groups(r.select("record_id", F.explode("ids").alias("value")))
     r = r.join(groups, "record_id", "left").withColumn("grp", F.coalesce("grp", "record_id"))
-    r = r.select("grp", "seq", "record_id", "source_name", "ids", F.col("rank").cast("double").alias("rank"), F.col("online").cast("double").alias("online"), "chosen")
+    r = r.select("grp", "seq", "record_id", "source_name", "ids", "rank", F.col("online").cast("double").alias("online"), "chosen")
     # One sorted stream per task instead of one data frame per group: most groups have a single record.
     return r.repartition("grp").sortWithinPartitions("grp", "seq").mapInPandas(_run(mode, auto), STATUS)
 
 
-def _all_by(c: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1)).orderBy(c)  # distinct versions only: few, whatever the number of records
-
-
 def source_errors(records: DataFrame, payload: str, key: str, allowed: list[str]) -> DataFrame:
     """Add ``error``: why a record's source does not hold, of the payload and of the key, or null. Both must be there, equal and allowed."""
     p, k = F.col(payload), F.col(key)

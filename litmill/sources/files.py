@@ -15,13 +15,20 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number, value): the lines that are not blank, in all .jsonl files below a path, numbered from one within their file."""
+    """(file, line_number, value): the lines that are not blank, in all .jsonl files below a path, numbered from one within their file.
+
+    A line's number is that of the lines in the file's splits before its own, and its place in that: only one row per split
+    is ever sorted by file, so a file of any size is numbered by many tasks.
+    """
     from pyspark.sql import Window
 
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("o"), "value")
-    # Blank lines count, so they are left out last. One file is one window; very large files should be split beforehand.
-    numbered = lines.withColumn("line_number", F.row_number().over(Window.partitionBy("file").orderBy("at", "o")))
+    splits = lines.groupBy("file", "at").agg(F.min("o").alias("start"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at")) - F.col("n")
+    placed = lines.join(splits.withColumn("before", before).drop("n"), ["file", "at"])
+    # Blank lines count, so they are left out last.
+    numbered = placed.withColumn("line_number", (F.col("before") + F.col("o") - F.col("start") + 1).cast("int"))
     return numbered.where(F.trim("value") != "").select("file", "line_number", "value")
 
 

@@ -61,3 +61,20 @@ def test_manifest(spark, tmp_path):
     assert {(r.shard, r.n_rows, r.path, r.writable) for r in m.shards().collect()} == {(0, 10, "p0", None), (1, 25, "p1", False)} and m.totals()["rows"] == 35
     with pytest.raises(ValueError, match="already"):
         m.add(spark.createDataFrame([(1, 1)], "shard int, n_rows bigint"))
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Lines keep their numbers where a file is read in many splits."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        (tmp_path / "a.jsonl").write_text("".join(f'{{"a": {i}}}\n' + "\n" * (i % 3) for i in range(200)))
+        (tmp_path / "b.jsonl").write_text("".join(f'{{"a": {i}}}\n' for i in range(50)))
+        lines = files.read_json_lines(spark, str(tmp_path))
+        got = {(r.file[-7:], r.line_number, json.loads(r.value)["a"]) for r in lines.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want, n = set(), 1
+    for i in range(200):
+        want.add(("a.jsonl", n, i))
+        n += 1 + i % 3
+    assert got == want | {("b.jsonl", i + 1, i) for i in range(50)}

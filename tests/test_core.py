@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import ids, text
 from litmill.functions.trigram import similarity
-from litmill.functions.versions import newer, version_key
+from litmill.functions.versions import newer, version_key, version_text
 from litmill.operators.identity import identifier_rows, match_identity
 from litmill.operators.latest import merge_keywords
 from litmill.operators.nearest import nearest
@@ -43,6 +43,10 @@ def test_versions(spark):
     order = ["1.0.dev1", "1.0a1", "1.0b2", "1.0rc1", "1.0", "1.0.post1", "1.2.0", "1.10.0", "v2.0.0", "13"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").select("i", version_key(F.col("v")).alias("k"))
     assert [r.i for r in df.orderBy("k").collect()] == list(range(len(order)))
+    order = [*order[:5], "1.0.0", *order[5:], "13.0.1", "13.2"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").select("i", version_text(F.col("v")).alias("k"))
+    assert [r.i for r in df.orderBy("k", "i").collect()] == list(range(len(order))) and df.select("k").distinct().count() == len(order) - 1
+    assert one(spark, version_text, "draft") is None
     assert one(spark, version_key, "invalid") is None and one(spark, version_key, None) is None
     cases = [("2.0.0", "1.0.0", 10, 5, True), ("1.0.0", "2.0.0", 10, 5, False), ("1.0.0", "1.0.0", 10, 5, True), ("1.0.0", "1.0.0", 5, 10, False), (None, None, None, None, False), ("invalid", "1.0.0", 10, 5, True)]
     df = spark.createDataFrame(cases, "a string, b string, x int, y int, want boolean")
@@ -113,12 +117,13 @@ def test_merge_keywords_and_queue(spark):
     assert len(bad.error) == 2000
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
     x[5] = x[6]  # a tie
     df = spark.createDataFrame([(i, int(i % 3), [float(v) for v in r]) for i, r in enumerate(x)] + [(900, 1, None), (901, 1, [])], "id bigint, label int, embedding array<double>").repartition(7)
     q = df.where("id % 50 = 0 or id = 900").select(F.col("id").alias("query_id"), "embedding")
+    monkeypatch.setattr("litmill.operators.nearest.TOGETHER", 1)  # every block is written before the next
     got = nearest(df, q, 5, block=3).collect()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for i in range(0, 300, 50):
