@@ -46,3 +46,17 @@ def first_seen(identifiers: DataFrame, id_col: str) -> DataFrame:
         F.col("_id").alias(id_col), F.when(F.col("same").isNotNull(), "same_source").when(F.col("other").isNotNull(), "cross_source").otherwise("none").alias("match"),
         F.coalesce("same", "other", F.lit(-1)).alias("earlier"),
     )
+
+
+def identity_bundle(records: DataFrame, ids: dict[str, str]) -> DataFrame:
+    """Add ``identity`` (source_name, doi, arxiv_id, pubmed_id, semantic_scholar_id, source_identifiers) and ``error`` to normalised records.
+
+    ``ids`` maps sources to the column with their own number; a source without one, or a record without that number, takes its
+    source_record_id. A record without either has an error, as nothing of its own source would know it again.
+    """
+    has = set(records.columns)
+    text = lambda c: F.col(c).cast("string") if c in has else F.lit(None).cast("string")
+    own = F.coalesce(*[F.when(F.col("source_name") == s, text(c)) for s, c in ids.items()], text("source_record_id"))
+    numbers = F.map_filter(F.map_from_arrays(F.array("source_name"), F.array(own)), lambda _, v: v.isNotNull())
+    bundle = F.struct("source_name", *[text(c).alias(n) for n, c in (("doi", "doi"), ("arxiv_id", "arxiv_id"), ("pubmed_id", "pubmed_id"), ("semantic_scholar_id", "semantic_scholar_id"))], numbers.alias("source_identifiers"))
+    return records.withColumns({"identity": bundle, "error": F.when(own.isNull(), "no identifier of its own source")})

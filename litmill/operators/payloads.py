@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions.text import collapse, filled
@@ -65,6 +65,34 @@ def result_rows(hits: DataFrame, papers: DataFrame, sources: DataFrame, authors:
     )
 
 
+NORMALISED = "common struct<title:string,abstract:string,language:string,publisher:string,authors:array<struct<sequence:int,name:string>>,keywords:array<string>>, source_specific struct<doi:string,online_at:string,institutions:array<struct<name:string>>,references:array<string>>"
+
+
+def read_normalised(json: DataFrame, column: str = "normalized_json") -> DataFrame:
+    """The fields of records that fan_out wrote as JSON, beside the other columns; null where the text is none."""
+    r = json.withColumn("_r", F.from_json(column, NORMALISED))
+    fields = [F.col(f"_r.common.{c}").alias(c) for c in ("title", "abstract", "language", "publisher", "authors", "keywords")]
+    more = [F.col(f"_r.source_specific.{c}").alias(c) for c in ("doi", "online_at", "institutions", "references")]
+    return r.select(*[c for c in json.columns], *fields, *more)
+
+
+def source_label(name: Column, labels: dict[str, str], key: bool = False) -> Column:
+    """What a source is shown as: the label of the longest prefix that it begins with, else its name; a dash without one. ``key`` gives a lower-case key, unknown without a name."""
+    out = F.lower(name) if key else name
+    for prefix in sorted(labels, key=len):
+        out = F.when(F.startswith(name, F.lit(prefix)), labels[prefix].lower() if key else labels[prefix]).otherwise(out)
+    return F.when(F.coalesce(name, F.lit("")) == "", "unknown" if key else "-").otherwise(out)
+
+
+def keyword_rows(records: DataFrame, keywords: str = "keywords") -> DataFrame:
+    """(record_id, keyword_type, keyword, weight, source) of arrays of such structs: the type concept, the record's source and the weight 1 where they are missing; blank keywords are left out."""
+    k = records.select("record_id", "source_name", F.explode(keywords).alias("k"))
+    return k.select(
+        "record_id", F.coalesce(filled(F.trim("k.keyword_type")), F.lit("concept")).alias("keyword_type"), filled(collapse(F.col("k.keyword"))).alias("keyword"),
+        F.coalesce(F.col("k.weight").cast("double"), F.lit(1.0)).alias("weight"), F.coalesce(filled(F.trim("k.source")), "source_name").alias("source"),
+    ).where("keyword is not null")
+
+
 def full_papers(papers: DataFrame, sources: DataFrame, authors: DataFrame, keywords: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """Papers with ``sources`` (undated first, then newest, then by id), ``authors``, ``keywords`` (by type and spelling) and ``references`` (in their order) as arrays of structs.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions.versions import version_text
@@ -143,9 +143,21 @@ def choose_canonical(papers: DataFrame, sources: DataFrame, choices: DataFrame)
     )
 
 
-def triggers(statuses: DataFrame) -> DataFrame:
-    """Whether a record's status asks for a new vector and for keywords."""
+def triggers(statuses: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """Whether a record's status asks for a new vector and for keywords.
+
+    A skipped record asks for keywords only if its paper lacks some source of them: ``missing`` has the paper_key of such papers.
+    """
     new, append = F.col("status").endswith("NEW_PAPER"), F.col("status").endswith("APPEND_SOURCE") & F.col("canonical_changed")
     update = F.col("status").endswith("UPDATE_SAME_SOURCE")
-    # A skipped record asks for keywords only if some source of keywords is missing: join queue.missing_sources for that.
-    return statuses.withColumns({"needs_vector": new | append | (update & (F.col("canonical_source") == F.col("source_name"))), "needs_keywords": new | append | update})
+    if missing is not None:
+        lacks = missing.select("paper_key", F.lit(True).alias("_lacks")).distinct()
+        statuses = statuses.join(lacks, "paper_key", "left")
+        update = update | (F.col("status").endswith("SKIP_SAME_SOURCE") & F.coalesce("_lacks", F.lit(False)))
+        out = triggers_of(statuses, new, append, F.col("status").endswith("UPDATE_SAME_SOURCE"), update)
+        return out.drop("_lacks")
+    return triggers_of(statuses, new, append, update, update)
+
+
+def triggers_of(statuses: DataFrame, new: Column, append: Column, update: Column, words: Column) -> DataFrame:
+    return statuses.withColumns({"needs_vector": new | append | (update & (F.col("canonical_source") == F.col("source_name"))), "needs_keywords": new | append | words})

@@ -91,20 +91,56 @@ SELECT p.paper_id, s.source_name, s.version, p.canonical_publisher = s.publisher
 FROM papers p JOIN paper_sources s ON p.canonical_source_id = s.paper_source_id"""
 
 
-def daily_feed(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty papers that came online last, with their newest source (the limit is the feed's)."""
+def daily_feed(spark: SparkSession, d: str, limit: int = 20) -> DataFrame:
+    """The papers that came online last, with their newest source and authors; the feed has one to twenty of them."""
+    limit = max(1, min(20, limit))
     s = table(spark, d, "paper_sources").withColumn("undated", F.col("online_at").isNull())
     newest = best_per_key(s, ["paper_id"], F.struct(~F.col("undated"), "online_at", "paper_source_id"), ["source_name", "paper_source_id"])
     p = table(spark, d, "papers").select("paper_id", "canonical_title", "online_at")
     # Only the feed's papers meet their sources.
-    top = p.orderBy(F.desc_nulls_last("online_at"), F.desc("paper_id")).limit(20)
-    return top.join(newest, "paper_id", "left").select("paper_id", "canonical_title", F.date_format("online_at", "yyyy-MM-dd").alias("day"), "source_name", "paper_source_id")
+    top = p.orderBy(F.desc_nulls_last("online_at"), F.desc("paper_id")).limit(limit)
+    a = table(spark, d, "paper_author_affiliation").select("paper_id", F.array_join(F.transform("authors", lambda x: x["name"]), ", ").alias("authors"))
+    return top.join(newest, "paper_id", "left").join(a, "paper_id", "left").select("authors", "paper_id", "canonical_title", F.date_format("online_at", "yyyy-MM-dd").alias("day"), "source_name", "paper_source_id")
 
 
 FEED_SQL = """
 WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY online_at DESC NULLS LAST, paper_source_id DESC) AS k FROM paper_sources) WHERE k = 1),
   t AS (SELECT paper_id, canonical_title, online_at FROM papers ORDER BY online_at DESC NULLS LAST, paper_id DESC LIMIT 20)
-SELECT t.paper_id, t.canonical_title, strftime(t.online_at, '%Y-%m-%d') AS day, n.source_name, n.paper_source_id FROM t LEFT JOIN n ON t.paper_id = n.paper_id"""
+SELECT t.paper_id, t.canonical_title, strftime(t.online_at, '%Y-%m-%d') AS day, n.source_name, n.paper_source_id,
+  array_to_string(list_filter(list_transform(a.authors, lambda x: x.name), lambda x: x IS NOT NULL), ', ') AS authors FROM t LEFT JOIN n ON t.paper_id = n.paper_id LEFT JOIN paper_author_affiliation a ON t.paper_id = a.paper_id"""
+
+
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Papers by category: the categories are numbered first, papers are linked with their numbers, and the names joined back."""
+    k = table(spark, d, "paper_keywords").where("lower(keyword_type) = 'category' and trim(keyword) <> ''").select("paper_id", F.lower(F.trim("keyword")).alias("name"))
+    categories = k.select("name").distinct().withColumn("cat_id", F.xxhash64("name"))
+    links = k.select("paper_id", F.xxhash64("name").alias("cat_id")).distinct()
+    return links.join(categories, "cat_id").groupBy("name").agg(F.count("*").alias("papers"))
+
+
+CATEGORY_SQL = "SELECT lower(trim(keyword)) AS name, count(DISTINCT paper_id) AS papers FROM paper_keywords WHERE lower(keyword_type) = 'category' AND trim(keyword) <> '' GROUP BY 1"
+
+
+def papers_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    """Papers by their publisher's time zone; the ten publishers are a table of fixed size."""
+    p = table(spark, d, "papers").join(F.broadcast(table(spark, d, "publishers")), F.col("canonical_publisher") == F.col("publisher"), "left")
+    return p.groupBy("time_zone").agg(F.count("*").alias("n"))
+
+
+ZONE_SQL = "SELECT time_zone, count(*) AS n FROM papers LEFT JOIN publishers ON canonical_publisher = publisher GROUP BY 1"
+
+
+def facet_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Papers that pass the chosen facets: some sources, and some years or none known."""
+    s = table(spark, d, "paper_sources").where(F.col("source_name").isin("harbour_history", "medindex")).select("paper_id")
+    year = F.year("online_at")
+    p = table(spark, d, "papers").where(year.isin(2019, 2021) | year.isNull())
+    return p.join(s, "paper_id", "left_semi").groupBy(F.coalesce(year.cast("string"), F.lit("Unknown")).alias("year")).agg(F.count("*").alias("n"))
+
+
+FACET_FILTER_SQL = """
+SELECT coalesce(CAST(year(online_at) AS VARCHAR), 'Unknown') AS year, count(*) AS n FROM papers p WHERE (year(online_at) IN (2019, 2021) OR online_at IS NULL)
+  AND EXISTS (SELECT 1 FROM paper_sources s WHERE s.paper_id = p.paper_id AND s.source_name IN ('harbour_history', 'medindex')) GROUP BY 1"""
 
 
 def keyword_case_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -225,12 +261,14 @@ WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue
 SELECT n_name, round(sum(revenue), 2) AS revenue, count(*) AS orders FROM l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""
 
 QUERIES = {
+    "category_counts": category_counts, "papers_by_zone": papers_by_zone, "facet_filter": facet_filter,
     "completeness": completeness, "sources_by_name": sources_by_name, "papers_by_year": papers_by_year, "facets": facets, "canonical_by_online_at": canonical_by_online_at,
     "canonical_join": canonical_join, "daily_feed": daily_feed, "keyword_case_dedupe": keyword_case_dedupe, "keyword_two_level": keyword_two_level,
     "author_pool_counts": author_pool_counts, "duplicate_work_ids": duplicate_work_ids, "source_merge_status": source_merge_status,
     "latest_event_per_user": latest_event_per_user, "timing_stats": timing_stats, "json_props": json_props, "entity_keywords": entity_keywords, "country_revenue": country_revenue,
 }
 SQL = {
+    "category_counts": CATEGORY_SQL, "papers_by_zone": ZONE_SQL, "facet_filter": FACET_FILTER_SQL,
     "completeness": COMPLETENESS_SQL, "sources_by_name": BY_NAME_SQL, "papers_by_year": BY_YEAR_SQL, "facets": FACETS_SQL, "canonical_by_online_at": CANONICAL_SQL,
     "canonical_join": CANONICAL_JOIN_SQL, "daily_feed": FEED_SQL, "keyword_case_dedupe": DEDUPE_SQL, "keyword_two_level": TWO_LEVEL_SQL, "author_pool_counts": POOL_SQL,
     "duplicate_work_ids": DUPLICATES_SQL, "source_merge_status": MERGE_SQL, "latest_event_per_user": EVENT_SQL, "timing_stats": TIMING_SQL, "json_props": PROPS_SQL,

@@ -74,6 +74,21 @@ def write_shards(df: DataFrame, path: str, id_col: str, shard_rows: int, batch_r
     return written.groupBy("shard").agg(F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id"), F.count("*").alias("n_rows"))
 
 
+def write_vector_shards(vectors: DataFrame, path: str, shard_rows: int, manifest: Manifest | None = None) -> DataFrame:
+    """Vectors (id, embedding) scaled to length one and written by id range, so that an inner product is a cosine; (shard, min_id, max_id, n_rows, dims, path), noted in the manifest.
+
+    Null and empty vectors are left out; one without length stays as it is.
+    """
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = vectors.where("size(embedding) > 0").withColumn("_n", size).withColumn("embedding", F.transform("embedding", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x).cast("float"))).drop("_n")
+    written = write_shards(unit, path, "id", shard_rows, shard_rows)
+    dims = vectors.sparkSession.read.parquet(path).groupBy("shard").agg(F.max(F.size("embedding")).alias("dims"))
+    out = written.join(dims, "shard").withColumn("path", F.concat(F.lit(f"{path.rstrip('/')}/shard="), F.col("shard").cast("string")))
+    if manifest is not None:
+        manifest.add(out)
+    return out
+
+
 MANIFEST = "shard int, path string, min_id bigint, max_id bigint, n_rows bigint, dims int, writable boolean"
 
 

@@ -148,6 +148,18 @@ class SnapshotTable:
         fs, p = self._fs(self.path)
         return bool(fs.delete(p, True)) if fs.exists(p) else False
 
+    def get(self, keys: DataFrame) -> DataFrame:
+        """The stored rows of whole keys; only their buckets are read."""
+        m = self.manifest()
+        wanted = keys.select(*self.keys).distinct()
+        touched = [r[0] for r in wanted.select(self._bucket(m["buckets"]).alias("b")).distinct().collect()]
+        return self._load(m, touched).join(wanted, self.keys, "left_semi")
+
+    def has(self, keys: DataFrame) -> DataFrame:
+        """The keys with ``stored``: whether there is a row of each."""
+        found = self.get(keys).select(*self.keys, F.lit(True).alias("stored"))
+        return keys.select(*self.keys).distinct().join(found, self.keys, "left").fillna(False, ["stored"])
+
     def columns(self) -> list[tuple[str, str]]:
         """(name, type) of the current version."""
         return self.read().dtypes if self.exists() else []
