@@ -18,6 +18,8 @@ def build_session(app: str = "litmill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Checkpoints go once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
