@@ -146,21 +146,36 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(32)).astype(np.uint32)
 
 
-def _signer(size: int):
+#: Texts whose entries, and pairs that, are packed together.
+PACKED = 10_000
+
+
+def _signer(size: int, stretches: int):
+    """Texts (_id, _t) to rows of two kinds, to be shuffled by p: texts with their keys and signatures, and packed entries of band keys."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Columns _id and _t; in slices that bound the memory.
+        us, keys, held = [], [], 0
         for df in batches:
-            for lo, hi in _slices(df["_t"]):
+            for lo, hi in _slices(df["_t"]):  # slices bound the memory
                 words, counts = word_hashes([t or "" for t in df["_t"].iloc[lo:hi]])
                 some = counts > 0
                 if not some.any():
                     continue
                 counts = counts[some]
                 ends = np.cumsum(counts)
-                text = [mixed(range_sums(words, ends - counts, ends, base)).view(np.int64) for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
+                u, v = [mixed(range_sums(words, ends - counts, ends, base)) for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
                 runs, each = shingles(words, counts, size)
                 minima = minhash(runs, np.cumsum(each) - each)
-                yield pd.DataFrame({"_id": df["_id"].iloc[lo:hi].to_numpy()[some], "_u": text[0], "_v": text[1], "_sig": list(pack_bits(minima)), "_bands": [r.tobytes() for r in band_keys(minima)]})
+                ids = df["_id"].iloc[lo:hi].to_numpy()[some]
+                us.append(u.view(np.int64))
+                keys.append(band_keys(minima))
+                held += len(u)
+                yield pd.DataFrame({"p": (u % np.uint64(stretches)).astype(np.int32), "entries": None, "_id": ids, "_u": us[-1], "_v": v.view(np.int64), "_sig": list(pack_bits(minima))})
+                if held >= PACKED:
+                    yield _dealt(us, keys, stretches, ids[0])
+                    us, keys, held = [], [], 0
+        if held:
+            yield _dealt(us, keys, stretches, ids[0])
 
     return run
 
@@ -195,22 +210,17 @@ def estimate(a: str, b: str) -> Column:
 ENTRY = np.dtype([("h", "<u4"), ("u", "<i8")])
 
 
-def _dealer(stretches: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Columns _u and _bands to rows (p, entries): all entries of a batch whose keys lie in one stretch.
-        for df in batches:
-            u, at = np.unique(df["_u"].to_numpy(), return_index=True)
-            keys = np.frombuffer(b"".join(df["_bands"].iloc[at]), dtype=np.uint32).reshape(len(u), BANDS)
-            key = mixed(keys.astype(np.uint64) | (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))).ravel()
-            p = ((key >> np.uint64(48)) % np.uint64(stretches)).astype(np.uint16)
-            entries = np.empty(len(key), dtype=ENTRY)
-            entries["h"], entries["u"] = key.astype(np.uint32), np.repeat(u, BANDS)
-            order = np.argsort(p, kind="stable")
-            p, entries = p[order], entries[order]
-            lo = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            yield pd.DataFrame({"p": p[lo].astype(np.int32), "entries": [e.tobytes() for e in np.split(entries, lo[1:])]})
-
-    return run
+def _dealt(us: list[np.ndarray], keys: list[np.ndarray], stretches: int, any_id) -> pd.DataFrame:
+    """Rows (p, entries): all entries of some texts whose keys lie in one stretch; copies of a text count once."""
+    u, at = np.unique(np.concatenate(us), return_index=True)
+    key = mixed(np.concatenate(keys)[at].astype(np.uint64) | (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))).ravel()
+    p = ((key >> np.uint64(48)) % np.uint64(stretches)).astype(np.uint16)
+    entries = np.empty(len(key), dtype=ENTRY)
+    entries["h"], entries["u"] = key.astype(np.uint32), np.repeat(u, BANDS)
+    order = np.argsort(p, kind="stable")
+    p, entries = p[order], entries[order]
+    lo = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    return pd.DataFrame({"p": p[lo].astype(np.int32), "entries": [e.tobytes() for e in np.split(entries, lo[1:])], "_id": any_id, "_u": 0, "_v": 0, "_sig": None})
 
 
 def _runs(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,19 +235,27 @@ def _runs(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _finder(most: int):
+    """The signer's rows of some stretches to texts as they are, arrays of pairs (a, b), a < b, that share a key of at most ``most`` texts, and arrays of (a, hot) for each text of a larger key."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows (p, entries) to (a, b, hot): pairs a < b of texts that share a key of at most ``most`` texts, and (a, hot) for each text of a larger key.
         from pyspark import TaskContext
 
         task = np.int64(TaskContext.get().partitionId()) << np.int64(32)
         hot = np.zeros(0, dtype=np.uint32)
         kept, size = [], 0
 
-        def larger(e: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"a": e["u"], "b": pd.array([None] * len(e), dtype="Int64"), "hot": e["h"].astype(np.int64) + task})
+        def found(a: np.ndarray, b: np.ndarray | None = None, key: np.ndarray | None = None) -> pd.DataFrame:
+            # Many in a row, as arrays.
+            at = range(0, len(a), PACKED)
+            many = lambda x: None if x is None else [x[i : i + PACKED] for i in at]
+            return pd.DataFrame({"_id": None, "_u": None, "_v": None, "_sig": None, "a": many(a), "b": many(b), "hot": many(key)}, index=range(len(at)))
 
+        larger = lambda e: found(e["u"], key=e["h"].astype(np.int64) + task)
         for df in batches:
-            for x in df["entries"]:
+            texts = df["entries"].isna()
+            if texts.any():
+                yield df.loc[texts, ["_id", "_u", "_v", "_sig"]].assign(a=None, b=None, hot=None)
+            for x in df.loc[~texts, "entries"]:
                 e = np.frombuffer(x, dtype=ENTRY)
                 if len(hot):
                     known = np.isin(e["h"], hot)
@@ -272,35 +290,29 @@ def _finder(most: int):
                 left.append(u[:, i].ravel())
                 right.append(u[:, j].ravel())
             if sum(map(len, left)) > 1_000_000:
-                yield _pairs(left, right)
+                yield found(*_distinct(left, right))
                 left, right = [], []
         if left:
-            yield _pairs(left, right)
+            yield found(*_distinct(left, right))
 
     return run
 
 
-def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pd.DataFrame:
+def _distinct(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.concatenate(left), np.concatenate(right)  # runs are sorted, so a < b
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return pd.DataFrame({"a": a[new], "b": pd.array(b[new], dtype="Int64"), "hot": pd.array([None] * int(new.sum()), dtype="Int64")})
+    return a[new], b[new]
 
 
-def _candidates(signed: DataFrame, sigs: DataFrame, gate: float) -> DataFrame:
+def _candidates(shared: DataFrame, sigs: DataFrame, gate: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of texts that share a band key and pass the estimate."""
-    stretches = min(1 << 16, max(64, 8 * int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = signed.select("_u", "_bands").mapInPandas(_dealer(stretches), "p int, entries binary")
-    shared = settle(dealt.repartition("p").mapInPandas(_finder(BLOCK), "a bigint, b bigint, hot bigint"))
-    pairs = shared.where("hot is null").select("a", "b").distinct()
-    passed = (
-        pairs.join(sigs.select(F.col("_u").alias("a"), F.col("_sig").alias("sa")), "a")
-        .join(sigs.select(F.col("_u").alias("b"), F.col("_sig").alias("sb")), "b")
-        .where(estimate("sa", "sb") >= gate)
-        .select("a", "b")
-    )
-    many = shared.where("hot is not null").select("hot", F.col("a").alias("_u")).distinct()
+    pairs = shared.where("b is not null").select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    # Both joins find the signatures where their aggregation has left them.
+    one = pairs.withColumnRenamed("a", "_u").join(sigs, "_u").select(F.col("_u").alias("a"), F.col("_sig").alias("sa"), F.col("b").alias("_u"))
+    passed = one.join(sigs, "_u").where(estimate("sa", "_sig") >= gate).select("a", F.col("_u").alias("b"))
+    many = shared.where("hot is not null").select(F.explode(F.arrays_zip("a", "hot")).alias("x")).select("x.hot", F.col("x.a").alias("_u")).distinct()
     if many.isEmpty():
         return passed
     sizes = many.groupBy("hot").agg(F.count("*").alias("n"))
@@ -333,13 +345,17 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, shingle_words: int
     """
     kind = dict(df.dtypes)[id_col]
     rows = spread(df.select(F.col(id_col).alias("_id"), text.alias("_t")))
-    signed = settle(rows.mapInPandas(_signer(shingle_words), f"_id {kind}, _u bigint, _v bigint, _sig array<bigint>, _bands binary"))
+    stretches = min(1 << 16, max(64, 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    text_row = f"_id {kind}, _u bigint, _v bigint, _sig array<bigint>"
+    dealt = rows.mapInPandas(_signer(shingle_words, stretches), f"p int, entries binary, {text_row}").repartition("p")
+    shared = settle(dealt.mapInPandas(_finder(BLOCK), f"{text_row}, a array<bigint>, b array<bigint>, hot array<bigint>"))
+    signed = shared.where("a is null").select("_id", "_u", "_v", "_sig")
     keyed = signed.groupBy("_id").agg(F.min(F.struct("_u", "_v")).alias("k")).select("_id", "k.*")
     reps = keyed.groupBy("_u", "_v").agg(F.min("_id").alias("rep"))
     members = settle(keyed.join(reps, ["_u", "_v"]).select(F.col("_id").alias("id"), "rep", "_u"))
     own = members.where("id = rep").select(F.col("rep").alias("_id"), "_u")
-    sigs = signed.select("_id", "_u", "_sig").join(own, ["_id", "_u"], "left_semi").select("_u", "_sig")
-    passed = settle(_candidates(signed, sigs, max(threshold - MARGIN, 0.05)))
+    sigs = signed.groupBy("_u").agg(F.first("_sig").alias("_sig"))  # copies have one signature
+    passed = settle(_candidates(shared, sigs, max(threshold - MARGIN, 0.05)))
     needed = passed.select(F.explode(F.array("a", "b")).alias("_u")).distinct().join(own, "_u")
     needed = settle(needed)
     sent = F.broadcast(needed) if needed.count() <= SENT_IDS else needed
