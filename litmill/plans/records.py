@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litmill.functions import ids, text
 from litmill.functions.versions import version_key
 from litmill.operators.identity import first_seen, identifier_rows, match_identity
+from litmill.operators.payloads import source_label
 from litmill.session import table
 from litmill.sources import adapters
 
@@ -186,17 +187,20 @@ WITH f AS (SELECT record_id, CAST(try_cast(funder AS JSON) AS JSON[]) AS xs FROM
 SELECT record_id, CAST(position AS BIGINT) AS position, x->>'name' AS name FROM each"""
 
 
+#: What the sources of the data are shown as, by the beginning of their names.
+LABELS = {"harbour": "Harbour", "tidepool": "Tidepool"}
+
+
 def source_labels(spark: SparkSession, d: str) -> DataFrame:
-    s = F.lower(F.coalesce("source_name", F.lit("")))
-    label = F.when(s.startswith("harbour"), "Harbour").when(s.startswith("tidepool"), "Tidepool").when(s == "", "Unknown").otherwise(F.initcap(F.regexp_replace(s, "_", " ")))
-    return table(spark, d, "paper_sources").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    """Source records by what their source is shown as, and by its key."""
+    s = table(spark, d, "paper_sources").select(source_label(F.col("source_name"), LABELS).alias("label"), source_label(F.col("source_name"), LABELS, key=True).alias("key"))
+    return s.groupBy("label", "key").agg(F.count("*").alias("n"))
 
 
 LABELS_SQL = """
-WITH s AS (SELECT lower(coalesce(source_name, '')) AS s FROM paper_sources)
-SELECT CASE WHEN starts_with(s, 'harbour') THEN 'Harbour' WHEN starts_with(s, 'tidepool') THEN 'Tidepool' WHEN s = '' THEN 'Unknown'
-  ELSE array_to_string(list_transform(string_split(replace(s, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS label, count(*) AS n
-FROM s GROUP BY 1"""
+SELECT CASE WHEN coalesce(source_name, '') = '' THEN '-' WHEN starts_with(source_name, 'harbour') THEN 'Harbour' WHEN starts_with(source_name, 'tidepool') THEN 'Tidepool' ELSE source_name END AS label,
+  CASE WHEN coalesce(source_name, '') = '' THEN 'unknown' WHEN starts_with(source_name, 'harbour') THEN 'harbour' WHEN starts_with(source_name, 'tidepool') THEN 'tidepool' ELSE lower(source_name) END AS key, count(*) AS n
+FROM paper_sources GROUP BY 1, 2"""
 
 _KINDS = {"doi": "doi", "arxiv": "arxiv_id", "pubmed": "pubmed_id", "record": "source_record_id"}
 

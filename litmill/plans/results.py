@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from litmill.operators.latest import top_per_key
 from litmill.operators.nearest import nearest
 from litmill.operators.payloads import embed, fan_out, notice, result_rows
+from litmill.operators.search import search_words
 from litmill.plans.records import _many_sql
-from litmill.plans.retrieval import understand_queries
+from litmill.plans.retrieval import _SEARCHED, understand_queries
 from litmill.session import table
 from litmill.sources import adapters
 
@@ -82,9 +83,8 @@ def query_notices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_text_search(spark: SparkSession, d: str) -> DataFrame:
-    """Okapi ranking of titles for the words of every fiftieth paper's title: a word index, so only papers with a common word meet a query."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
-    p = table(spark, d, "papers").select("paper_id", words(F.col("canonical_title")).alias("w")).where("size(w) > 0")
+    """Okapi ranking of titles for the words of every fiftieth paper's title: a word index without stop words, so only papers with a common word meet a query."""
+    p = table(spark, d, "papers").select("paper_id", search_words(F.col("canonical_title")).alias("w")).where("size(w) > 0")
     tf = p.select("paper_id", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("paper_id", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     total = p.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
@@ -96,7 +96,7 @@ def ranked_text_search(spark: SparkSession, d: str) -> DataFrame:
     return top_per_key(hits, ["query_id"], [F.desc("score"), F.asc("paper_id")], 10)
 
 
-_WORDS = r"list_filter(regexp_split_to_array(lower(canonical_title), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 3)"
+_WORDS = _SEARCHED("canonical_title")
 OKAPI_SQL = f"""
 WITH p AS (SELECT paper_id, {_WORDS} AS w FROM papers WHERE canonical_title IS NOT NULL AND len({_WORDS}) > 0),
   x AS (SELECT paper_id, len(w) AS l, unnest(w) AS word FROM p), tf AS (SELECT paper_id, word, count(*) AS tf, any_value(l) AS l FROM x GROUP BY 1, 2),

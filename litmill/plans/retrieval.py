@@ -9,6 +9,7 @@ from litmill.functions.text import filled
 from litmill.functions.trigram import similarity
 from litmill.operators import nearest as nn
 from litmill.operators.latest import top_per_key
+from litmill.operators.search import STOPPED, by_condition, weighted_rank
 from litmill.operators.suggest import by_token, by_trigram, distinct_keywords, suggest_terms
 from litmill.operators.highlight import highlight_plan, marked
 from litmill.operators.understand import corrections, phrases, route
@@ -97,15 +98,26 @@ SELECT query_id, id, CAST(vector_score AS DOUBLE) AS vector_score, keyword_score
 
 
 def search_by_condition(spark: SparkSession, d: str) -> DataFrame:
-    """Papers of a year with a word in the title that have a keyword of a type: filters reach the scan, the keyword is a semi-join."""
-    p = table(spark, d, "papers").where(F.col("canonical_title").ilike("%switch%") & (F.year("online_at") == 2020))
-    k = table(spark, d, "paper_keywords").where(F.lower("keyword_type") == "concept").select("paper_id")
-    return p.join(k, "paper_id", "left_semi").select("paper_id", "canonical_title", F.date_format("online_at", "yyyy-MM-dd").alias("day"))
+    """The first fifty papers of a year with a word in the title, an author's name and a keyword of a type (the limit is the search's)."""
+    p = by_condition(table(spark, d, "papers"), table(spark, d, "paper_author_affiliation"), table(spark, d, "paper_keywords"), title="switch", author="a", keyword_type="concept", limit=50)
+    return p.select("paper_id", "canonical_title", F.date_format("online_at", "yyyy-MM-dd").alias("day"))
 
 
 CONDITION_SQL = """
-SELECT paper_id, canonical_title, strftime(online_at, '%Y-%m-%d') AS day FROM papers p WHERE canonical_title ILIKE '%switch%' AND year(online_at) = 2020
-  AND EXISTS (SELECT 1 FROM paper_keywords k WHERE k.paper_id = p.paper_id AND lower(k.keyword_type) = 'concept')"""
+SELECT paper_id, canonical_title, strftime(online_at, '%Y-%m-%d') AS day FROM papers p WHERE contains(lower(canonical_title), 'switch')
+  AND EXISTS (SELECT 1 FROM paper_author_affiliation a WHERE a.paper_id = p.paper_id AND len(list_filter(a.authors, lambda x: coalesce(contains(lower(x.name), 'a'), false))) > 0)
+  AND EXISTS (SELECT 1 FROM paper_keywords k WHERE k.paper_id = p.paper_id AND lower(k.keyword_type) = 'concept') ORDER BY online_at DESC NULLS FIRST, paper_id DESC LIMIT 50"""
+
+
+def search_category_year(spark: SparkSession, d: str) -> DataFrame:
+    """All papers of a category and a year."""
+    p = by_condition(table(spark, d, "papers"), table(spark, d, "paper_author_affiliation"), table(spark, d, "paper_keywords"), year=2020, category="neuroscience")
+    return p.select("paper_id", F.date_format("online_at", "yyyy-MM-dd").alias("day"))
+
+
+CATEGORY_YEAR_SQL = """
+SELECT paper_id, strftime(online_at, '%Y-%m-%d') AS day FROM papers p WHERE year(online_at) = 2020
+  AND EXISTS (SELECT 1 FROM paper_keywords k WHERE k.paper_id = p.paper_id AND lower(k.keyword_type) = 'category' AND lower(trim(k.keyword)) = 'neuroscience')"""
 
 
 def search_by_author(spark: SparkSession, d: str) -> DataFrame:
@@ -233,28 +245,27 @@ FROM papers p LEFT JOIN s ON p.paper_id = s.paper_id LEFT JOIN k ON p.paper_id =
 
 
 def text_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by the weighted frequency of query words: title line 0.7, text 0.3 (the limit is the search's)."""
-    words = ["autophagy", "membrane"]
-    count = lambda c: sum((F.regexp_count(F.lower(c), F.lit(w)) for w in words), F.lit(0))
-    title = F.split(F.col("text"), "\n", 2)[0]
-    rank = F.round(0.7 * count(title) + 0.3 * count(F.col("text")), 4)
-    out = table(spark, d, "documents").select("doc_id", rank.alias("rank")).where("rank > 0")
-    return out.orderBy(F.desc("rank"), "doc_id").limit(100)
+    """The ten papers with the best weighted count of each title query's words."""
+    return weighted_rank(table(spark, d, "papers"), _titles(spark, d), 10)
 
 
-_COUNT = lambda c: f"(len(regexp_extract_all(lower({c}), 'autophagy')) + len(regexp_extract_all(lower({c}), 'membrane')))"
+_STOPPED_SQL = ", ".join(f"'{w}'" for w in STOPPED)
+_SEARCHED = lambda c: rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOPPED_SQL}))"
 RANK_SQL = f"""
-SELECT doc_id, CAST(round(0.7 * {_COUNT("string_split(text, chr(10))[1]")} + 0.3 * {_COUNT("text")}, 4) AS DOUBLE) AS rank FROM documents
-WHERE {_COUNT("text")} > 0 ORDER BY rank DESC, doc_id LIMIT 100"""
+WITH {_Q_SQL}, e AS (SELECT paper_id, unnest({_SEARCHED("canonical_title")}) AS word, 0.7 AS w FROM papers WHERE canonical_title IS NOT NULL
+    UNION ALL SELECT paper_id, unnest({_SEARCHED("canonical_abstract")}), 0.3 FROM papers WHERE canonical_abstract IS NOT NULL),
+  i AS (SELECT word, paper_id, sum(w) AS w FROM e GROUP BY 1, 2), a AS (SELECT DISTINCT query_id, word FROM (SELECT query_id, unnest({_SEARCHED("query")}) AS word FROM q)),
+  h AS (SELECT query_id, paper_id, CAST(round(sum(w), 4) AS DOUBLE) AS rank FROM a JOIN i ON a.word = i.word GROUP BY 1, 2)
+SELECT query_id, paper_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, paper_id) AS k FROM h) WHERE k <= 10"""
 
 QUERIES = {
     "dense_topk": dense_topk, "dense_topk_per_source": dense_topk_per_source, "prioritised_search": prioritised_search, "recommend_similar": recommend_similar,
-    "min_score_search": min_score_search, "hybrid_search": hybrid_search, "search_by_condition": search_by_condition, "search_by_author": search_by_author,
+    "min_score_search": min_score_search, "hybrid_search": hybrid_search, "search_by_condition": search_by_condition, "search_category_year": search_category_year, "search_by_author": search_by_author,
     "suggest_by_token": suggest_by_token, "suggest_by_trigram": suggest_by_trigram, "suggest_terms_ranked": suggest_terms_ranked, "trigram_similarity": trigram_similarity,
     "understand_queries": understand_queries, "query_phrases": query_phrases, "highlight_terms": highlight_terms, "hydrate_papers": hydrate_papers, "text_rank": text_rank,
 }
 SQL = {
     "dense_topk": DENSE_SQL, "dense_topk_per_source": PER_SOURCE_SQL, "prioritised_search": PRIORITY_SQL, "recommend_similar": RECOMMEND_SQL, "min_score_search": MIN_SCORE_SQL,
-    "hybrid_search": HYBRID_SQL, "search_by_condition": CONDITION_SQL, "search_by_author": AUTHOR_SQL, "suggest_by_token": TOKEN_SQL, "suggest_by_trigram": TRIGRAM_SQL,
+    "hybrid_search": HYBRID_SQL, "search_by_condition": CONDITION_SQL, "search_category_year": CATEGORY_YEAR_SQL, "search_by_author": AUTHOR_SQL, "suggest_by_token": TOKEN_SQL, "suggest_by_trigram": TRIGRAM_SQL,
     "suggest_terms_ranked": RANKED_SQL, "trigram_similarity": SIMILARITY_SQL, "hydrate_papers": HYDRATE_SQL, "text_rank": RANK_SQL,
 }
