@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litmill.operators.keywords import count_entities
 from litmill.operators.latest import best_per_key, canonical_sources, merge_keywords, top_per_key
 from litmill.session import table
 
@@ -228,21 +229,30 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 PROPS_SQL = "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1"
 
 
+#: Stand-ins for an entity model: what the names of genes and of species look like.
+ENTITY_PATTERNS = {"GENE": r"(?:[A-Z][a-z]{2,4}|[A-Z]{3,4})[0-9]+", "ORGANISM": r"[A-Z][a-z]{3,}(?:a|us|um|is) [a-z]{3,}(?:a|us|um|is)"}
+
+
 def entity_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """Capitalised names of each document with their frequency relative to the most frequent; twelve at most (the feature's limit)."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+[0-9]+"), F.lit(0))).alias("pos", "name"))
-    per = docs.groupBy("doc_id", F.lower("name").alias("key")).agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.min_by("name", "pos").alias("display"))
-    top = per.groupBy("doc_id").agg(F.max("n").alias("top"))
-    ranked = top_per_key(per.join(top, "doc_id"), ["doc_id"], [F.desc("n"), F.asc("pos")], 12)
-    return ranked.select("doc_id", "display", "n", F.round(F.col("n") / F.col("top"), 3).alias("weight"))
-
-
-ENTITY_SQL = """
-WITH m AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+[0-9]+') AS xs FROM documents),
-  e AS (SELECT doc_id, unnest(xs) AS name, unnest(range(0, len(xs))) AS pos FROM m),
-  p AS (SELECT doc_id, lower(name) AS key, count(*) AS n, min(pos) AS pos, arg_min(name, pos) AS display FROM e GROUP BY 1, 2),
-  r AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS k FROM p)
-SELECT doc_id, display, n, round(n / top, 3) AS weight FROM r WHERE k <= 12"""
+    """Genes and species named in each document as typed keywords, weighted by frequency; twelve at most (the feature's limit)."""
+    docs = table(spark, d, "documents")
+    found = None
+    for i, (label, pattern) in enumerate(ENTITY_PATTERNS.items()):
+        part = docs.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "text"))
+        part = part.select("paper_id", (F.col("pos").cast("long") + i * 10**9).alias("position"), F.lit(label).alias("label"), "text")
+        found = part if found is None else found.unionByName(part)
+    return count_entities(found).select(F.col("paper_id").alias("doc_id"), "keyword_type", "keyword", "weight")
+
+
+_FOUND_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS keyword_type, unnest(xs) AS name, unnest(range(0, len(xs))) + {i}000000000 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS xs FROM documents)"
+    for i, (kind, pattern) in enumerate([("gene", ENTITY_PATTERNS["GENE"]), ("organism", ENTITY_PATTERNS["ORGANISM"])])
+)
+ENTITY_SQL = f"""
+WITH e AS ({_FOUND_SQL}),
+  p AS (SELECT doc_id, keyword_type, lower(name) AS key, count(*) AS n, min(pos) AS pos, arg_min(name, pos) AS keyword FROM e GROUP BY 1, 2, 3),
+  r AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos, keyword_type) AS k FROM p)
+SELECT doc_id, keyword_type, keyword, round(n / top, 3) AS weight FROM r WHERE k <= 12"""
 
 
 def country_revenue(spark: SparkSession, d: str) -> DataFrame:

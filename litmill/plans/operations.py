@@ -166,13 +166,13 @@ SELECT paper_id, strftime(online_at, '%Y-%m-%d') AS day FROM papers p WHERE onli
   AND EXISTS (SELECT 1 FROM paper_sources s WHERE s.paper_id = p.paper_id AND s.source_name IN ('harbour_history', 'tidepool'))"""
 
 
-def export_range(spark: SparkSession, d: str) -> DataFrame:
-    """Source records of a range of papers in a state; the range is the feature of a keyset export."""
-    s = table(spark, d, "paper_sources").where((F.col("paper_id").between(100, 999)) & (F.col("sync_status") == "active"))
-    return s.groupBy("source_name").agg(F.count("*").alias("n"), F.min("paper_id").alias("low"), F.max("paper_id").alias("high"))
+def export_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Active source records by the ranges of a thousand papers in which they are exported."""
+    s = table(spark, d, "paper_sources").where("sync_status = 'active'")
+    return s.groupBy(F.floor(F.col("paper_id") / 1000).alias("part")).agg(F.count("*").alias("n"), F.min("paper_id").alias("low"), F.max("paper_id").alias("high"))
 
 
-RANGE_SQL = "SELECT source_name, count(*) AS n, min(paper_id) AS low, max(paper_id) AS high FROM paper_sources WHERE paper_id BETWEEN 100 AND 999 AND sync_status = 'active' GROUP BY 1"
+RANGES_SQL = "SELECT CAST(floor(paper_id / 1000) AS BIGINT) AS part, count(*) AS n, min(paper_id) AS low, max(paper_id) AS high FROM paper_sources WHERE sync_status = 'active' GROUP BY 1"
 
 
 def published_years(spark: SparkSession, d: str) -> DataFrame:
@@ -234,10 +234,10 @@ def smart_searches(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "intake_stats": intake_stats, "route_sources": route_sources, "generated_keyword_counts": generated_keyword_counts, "generated_keywords": generated_keywords, "backfill_candidates": backfill_candidates,
     "backfill_targets": backfill_targets, "queue_page": queue_page, "failure_buckets": failure_buckets, "pending_range": pending_range, "corpus_stats": corpus_stats, "collection_stats": collection_stats,
-    "daily_window": daily_window, "export_range": export_range, "published_years": published_years, "author_pool_tokens": author_pool_tokens, "whole_papers": whole_papers, "smart_searches": smart_searches,
+    "daily_window": daily_window, "export_ranges": export_ranges, "published_years": published_years, "author_pool_tokens": author_pool_tokens, "whole_papers": whole_papers, "smart_searches": smart_searches,
 }
 SQL = {
     "intake_stats": INTAKE_SQL, "route_sources": ROUTE_SQL, "generated_keyword_counts": GENERATED_SQL, "backfill_candidates": CANDIDATES_SQL, "backfill_targets": TARGETS_SQL, "queue_page": PAGE_SQL,
-    "failure_buckets": BUCKETS_SQL, "pending_range": PENDING_SQL, "corpus_stats": CORPUS_SQL, "collection_stats": COLLECTION_SQL, "daily_window": WINDOW_SQL, "export_range": RANGE_SQL,
+    "failure_buckets": BUCKETS_SQL, "pending_range": PENDING_SQL, "corpus_stats": CORPUS_SQL, "collection_stats": COLLECTION_SQL, "daily_window": WINDOW_SQL, "export_ranges": RANGES_SQL,
     "published_years": YEARS_SQL, "author_pool_tokens": TOKENS_SQL, "whole_papers": WHOLE_SQL,
 }
