@@ -82,8 +82,9 @@ class Warehouse:
         return out.withColumn("size", byte_size(F.col("bytes")))
 
     def clean(self) -> int:
-        """Remove all tables; how many there were."""
-        return sum(self.table(n).drop() for n in self.forms) + 0 * SnapshotTable(self.spark, self.root, "_steps", ["name"]).drop()
+        """Remove all tables and what is noted of their changes; how many tables there were."""
+        SnapshotTable(self.spark, self.root, "_steps", ["name"]).drop()
+        return sum(self.table(n).drop() for n in self.forms)
 
 
 def _split(columns: str) -> list[str]:
