@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -57,23 +58,36 @@ SLOT = re.compile(
 MAY_SLOT = re.compile(r"[{$@#_]|:[a-z._-]+:|<[<%]|\[|%[A-Za-z]|XX|xx|\([tT][bB]|[tT][bB][aAcCdD]\b|\?\?|\.{5}")
 QUOTED = re.compile(r"(?:placeholders?|templates?|variables?|tokens?|fields?|tags?|macros?|strings?|of the form|such as|called|named|denotes?|cells and|literal|syntax)\W*$", re.IGNORECASE)
 # Lines and phrases that a failed response, an empty record, filler or a script demand shows.
-STATUS = (
-    r"(?im)^\W*(?:http|error|status|code)*\W*[45]\d\d(?:\W+[a-z][a-z ]{0,30})?\W*$"
-    r"|^\W*(?:access denied|forbidden|unauthori[sz]ed|bad gateway|gateway time-?out|service unavailable|internal server error|page not found|not found|gone|oops|sorry|whoops[^\n]{0,40})\W*$"
-    r"|\b(?:request|incident|event|ray|error) id\b\W{0,3}\w*\d|\breference:? [0-9a-f]{6,}\b"
-    r"|traceback \(most recent call last\)|sqlstate\[|exception in thread|stack trace:|\bfatal error\b|^\s+at [\w.$]+\([\w.]+:\d+\)|\bon line \d+\W*$|segmentation fault|\w(?:exception|error)\b[^\n]{0,60}\bat [\w.$]+\([\w.]+:\d+\)"
-    r"|^\s*\{[^{}\n]*\x22(?:error|exception|errors|errorcode)\x22\s*:[^{}\n]*\}\s*$"
-    r"|\[object object\]|#(?:ref|value|name|n/a)!|%s\b[^\n]{0,60}%s|^\w+: (?:nan|undefined|null|none|\{\})\W*$|undefined (?:views|reads|downloads|citations)"
-    r"|\blorem ipsum dolor\b|\b(?:consectetur|adipiscing|incididunt|exercitation)\b|(?:\bxxx\b\W*){3,}|heading 1 heading 2|with your own words|description to follow"
-    r"|\bbla(?:h)?\W+bla(?:h)?\b|\bfoo\W+bar\b|\basdf\b|\bqwer(?:ty)?\b|\bhjkl\b|click to (?:add|edit)|intentionally (?:a stand-in|left blank|blank)|\bnoscript:|(?:your|enter|insert|add|type) (?:text|title|abstract|content)s?(?: goes)? here\b"
-    r"|^\W*(?:(?:sample|dummy|filler|placeholder|example|test) (?:text|paragraph|abstract|content|summary|caption)|(?:abstract|body text|text|content|summary|caption|description) (?:follows|to follow|coming soon|goes here)|under construction|coming soon|todo\b[^\n]{0,40})(?:\W|$)"
-    r"|(?:platzhalter|beispiel|blind|muster)text|text folgt|hier steht|texto de (?:ejemplo|relleno)|escriba su|texte? (?:d'exemple|factice|ici)|votre texte|testo di (?:esempio|prova)|示例文本|此处填写|在此(?:输入|填写)|占位|待补充"
-    r"|(?:javascript|scripts?|cookies|browser)[^.\n]{0,40}(?:is|are|seems?|appears?|turned|switched)[^.\n]{0,20}\b(?:off|disabled|blocked|needed|required)\b"
-    r"|(?:enable|activate|allow|turn on|switch on|accept)\b[^.\n]{0,20}(?:javascript|scripts?|cookies)[^.\n]{0,30}(?:continue|view|read|proceed|access|and (?:reload|refresh|try))"
-    r"|(?:aktivieren|activez|active|habilite|active|attivare|attiva|ative|启用|开启)[^.\n]{0,20}(?:javascript|cookies)"
-    r"|(?:requires?|needs?|only with|depends on|works? with)[^.\n]{0,20}(?:javascript|scripts|cookies|script-capable)[^,\n]{0,30}\.|verify your browser|check your browser|you are (?:a )?human"
-    r"|javascript[^a-z]{0,12}$"
-)
+LINES = [
+    r"\W*(?:http|error|status|code)*\W*[45]\d\d(?:\W+[a-z][a-z ]{0,30})?\W*$",
+    r"\W*(?:access denied|forbidden|unauthori[sz]ed|bad gateway|gateway time-?out|service unavailable|internal server error|page not found|not found|gone|oops|sorry|whoops[^\n]{0,40})\W*$",
+    r"\s+at [\w.$]+\([\w.]+:\d+\)",
+    r"\s*\{[^{}\n]*\x22(?:error|exception|errors|errorcode)\x22\s*:[^{}\n]*\}\s*$",
+    r"\w+: (?:nan|undefined|null|none|\{\})\W*$",
+    r"\W*(?:(?:sample|dummy|filler|placeholder|example|test) (?:text|paragraph|abstract|content|summary|caption)|(?:abstract|body text|text|content|summary|caption|description) (?:follows|to follow|coming soon|goes here)|under construction|coming soon|todo\b[^\n]{0,40})(?:\W|$)",
+]
+PHRASES = [
+    r"\b(?:request|incident|event|ray|error) id\b\W{0,3}\w*\d|\breference:? [0-9a-f]{6,}\b",
+    r"traceback \(most recent call last\)|sqlstate\[|exception in thread|stack trace:|\bfatal error\b|\bon line \d+\W*$|segmentation fault|\w(?:exception|error)\b[^\n]{0,60}\bat [\w.$]+\([\w.]+:\d+\)",
+    r"\[object object\]|#(?:ref|value|name|n/a)!|%s\b[^\n]{0,60}%s|undefined (?:views|reads|downloads|citations)",
+    r"\blorem ipsum dolor\b|\b(?:consectetur|adipiscing|incididunt|exercitation)\b|(?:\bxxx\b\W*){3,}|heading 1 heading 2|with your own words|description to follow",
+    r"\bbla(?:h)?\W+bla(?:h)?\b|\bfoo\W+bar\b|\basdf\b|\bqwer(?:ty)?\b|\bhjkl\b|click to (?:add|edit)|intentionally (?:a stand-in|left blank|blank)|\bnoscript:",
+    r"(?:your|enter|insert|add|type) (?:text|title|abstract|content)s?(?: goes)? here\b",
+    r"(?:platzhalter|beispiel|blind|muster)text|text folgt|hier steht|texto de (?:ejemplo|relleno)|escriba su|texte? (?:d'exemple|factice|ici)|votre texte|testo di (?:esempio|prova)|示例文本|此处填写|在此(?:输入|填写)|占位|待补充",
+    r"(?:javascript|scripts?|cookies|browser)[^.\n]{0,40}(?:is|are|seems?|appears?|turned|switched)[^.\n]{0,20}\b(?:off|disabled|blocked|needed|required)\b",
+    r"(?:enable|activate|allow|turn on|switch on|accept)\b[^.\n]{0,20}(?:javascript|scripts?|cookies)[^.\n]{0,30}(?:continue|view|read|proceed|access|and (?:reload|refresh|try))",
+    r"(?:aktivieren|activez|active|habilite|attivare|attiva|ative|启用|开启)[^.\n]{0,20}(?:javascript|cookies)",
+    r"(?:requires?|needs?|only with|depends on|works? with)[^.\n]{0,20}(?:javascript|scripts|cookies|script-capable)[^,\n]{0,30}\.|verify your browser|check your browser|you are (?:a )?human|javascript[^a-z]{0,12}$",
+]
+#: What a text that has one of the phrases holds at least, in lower case: most texts hold none and are not searched for them.
+HINTS = [
+    "request id", "incident id", "event id", "ray id", "error id", "reference", "traceback", "sqlstate", "exception", "stack trace", "error", "on line ", "segmentation fault", "[object", "#ref!", "#value!", "#name!", "#n/a!",
+    "%s", "undefined ", "lorem", "consectetur", "adipiscing", "incididunt", "exercitation", "xxx", "heading 1", "own words", "to follow", "bla", "foo", "asdf", "qwer", "hjkl", "click to ", "intentionally ", "noscript", " here",
+    "platzhaltertext", "beispieltext", "blindtext", "mustertext", "text folgt", "hier steht", "texto de ", "escriba su", "text d'exemple", "texte d'exemple", "factice", "texte ici", "text ici", "votre texte", "testo di ",
+    "示例文本", "此处填写", "在此", "占位", "待补充", "script", "cookie", "browser", "human",
+]
+LINE_STATUS = "(?im)^(?:" + "|".join(LINES) + ")"
+STATUS = LINE_STATUS + "|" + "|".join(PHRASES)
 _STATUS = re.compile(STATUS)
 
 # Kinds of characters: part of a word, digit, a word of its own, mark.
@@ -198,13 +212,14 @@ def fit(idx: np.ndarray, row: np.ndarray, value: np.ndarray, label: np.ndarray)
     return w, float(b)
 
 
-def weak_label(text: Column, content: Column) -> Column:
-    """1 for short texts that show a status or phrase, 0 for longer texts and single lines that show none (where ``content`` allows), else null."""
+def weak_label(text: Column, low: Column, content: Column) -> Column:
+    """1 for short texts that show a status or phrase, 0 for longer texts and single lines that show none (where ``content`` allows), else null; ``low`` is the text in lower case."""
     n = F.length(text)
     sentences = F.size(F.split(text, r"[.!?。！？\n]+\s*"))
     short, long_ = (n <= SHORT_CHARS) & (sentences <= 9), content & (n <= LONG_CHARS) & ((sentences >= 6) | (sentences == 1))
     # Lengths come first, so that the pattern runs over texts that can be chosen only.
-    shows = F.when(short | long_, text.rlike(STATUS) | text.rlike(_JVM_SLOT))
+    hint = reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in HINTS])
+    shows = F.when(short | long_, text.rlike(LINE_STATUS) | text.rlike(_JVM_SLOT) | (hint & text.rlike(STATUS)))
     return F.when(short & shows, 1).when(long_ & ~shows, 0)
 
 
@@ -221,7 +236,11 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) ->
     edge = lambda part: F.lit(min(int(part * 2**64), 2**64 - 1) - 2**63)
     drawn = docs.where(order <= edge(share)).select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"), order.alias("o"), F.col(id_col).alias("id"))
     # Written once, as both labels are read from it: of SAMPLE_ROWS texts those with a label.
-    labelled = settle(drawn.withColumn("label", weak_label(F.col("text"), F.col("o") <= edge(content))).where("label is not null"))
+    # Each generated column is made once; a plain one would be made again in the filter, and for every hint.
+    once = lambda c: F.explode_outer(F.array(c))
+    drawn = drawn.withColumn("low", once(F.lower("text")))
+    drawn = drawn.withColumn("label", once(weak_label(F.col("text"), F.col("low"), F.col("o") <= edge(content)))).drop("low")
+    labelled = settle(drawn.where("label is not null"))
     chosen = [labelled.where(F.col("label") == k).orderBy("o", "id").limit(SAMPLE_TEXTS) for k in (0, 1)]
     return chosen[0].unionByName(chosen[1]).orderBy("o", "id").select("host", "label", "text").toPandas()
 
@@ -232,7 +251,7 @@ def train(sample: pd.DataFrame, held_out: bool) -> tuple[np.ndarray, float, dict
     label = sample["label"].to_numpy(dtype=np.float64)[s.owner] if s.n else np.zeros(0)
     # Titles and page furniture around a failure say nothing about it: of the texts that show one, only sentences and the
     # showing lines count; of those that show open slots only, the segments with slots.
-    shows = np.array([bool(_STATUS.search(t)) for t in sample["text"]], dtype=bool)[s.owner] if s.n else np.zeros(0, dtype=bool)
+    shows = np.array([y == 1 and bool(_STATUS.search(t)) for y, t in zip(sample["label"], sample["text"], strict=True)], dtype=bool)[s.owner] if s.n else np.zeros(0, dtype=bool)
     known = (label == 0) | s.slot | (shows & s.ends)
     for i in np.flatnonzero(shows & ~known):
         known[i] = bool(_STATUS.search(s.text(i)))
