@@ -1,13 +1,13 @@
 """Matching records to works across sources without a shared key.
 
 Titles, title beginnings and author lists are encoded as fixed bit vectors of the two-letter grams
-of their words. Close pairs are found by multi-index Hamming hashing: a vector is cut into RADIUS + 1
-blocks, so two vectors within the radius agree in a block at least, and the blocks (with the stretch
-of dates a pair must share) are join keys. Blocks without any gram, which agree in most vectors, are
-keyed together with each surname; titles too short to fill the blocks are keyed whole with each surname.
-Rows without a date are keyed without a stretch, in a join of their own. A 64-bit fold of the vector goes
-along, whose distance never exceeds the vectors' own, and keeps pairs beyond the radius from leaving the
-join. Equal DOIs are candidates too.
+of their words. Close pairs are found by surname: a record's surnames, and those of works that differ from
+one by a slip, are join keys with the stretch of dates a pair must share, and the title vectors go along so
+that only pairs with near titles and dates leave the join. Rows without a date meet in a join of their own,
+without stretches. Where one side names nobody, multi-index Hamming hashing finds the pairs: a vector is cut
+into RADIUS + 1 blocks, so two vectors within the radius agree in a block at least, and the blocks of title
+and head are join keys with the stretch; a 64-bit fold of the vector goes along, whose distance never exceeds
+the vectors' own. Equal DOIs are candidates too.
 
 Field-weighted scores (Dice of the vectors, words and surnames matched one by one, days apart) become a
 confidence by a logistic curve fitted on pairs that a DOI decides; an equal DOI adds fixed odds. The
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions.moments import calendar_day, date_parts, epoch_us
-from litmill.llm.name_variants import HONORS, PARTICLES, fold, parse_person, slip_kind
+from litmill.llm.name_variants import HONORS, PARTICLES, SOUNDS, fold, parse_person, slip_kind
 from litmill.session import settle, spread
 
 #: Words of 64 bits and blocks (radius + 1) of each vector.
@@ -181,14 +181,16 @@ def _masks(longs: int, blocks: int) -> list[list[int]]:
     return out
 
 
-def block_keys(rows: DataFrame, stretches: Column) -> DataFrame:
-    """(key, fold, r, id): one row per block and per stretch of dates.
+def stretches(by: int = 0) -> Column:
+    """The stretches of a row's dates, or of all dates within ``by`` days of them."""
+    at = lambda x: F.floor(x / (2 * NEAR_DAYS)).cast("int")
+    return F.array_distinct(F.flatten(F.transform("days", lambda d: F.sequence(at(d - by), at(d + by)))))
 
-    An empty block of a vector is keyed with each surname, as it agrees with too many others by itself. Titles
-    with fewer grams than blocks are keyed whole, with each surname, since their blocks are mostly empty.
-    """
-    items, gaps = [], []
-    for k, (name, longs, blocks) in enumerate((TITLE, HEAD, PEOPLE)):
+
+def block_keys(rows: DataFrame, by: int = 0) -> DataFrame:
+    """(key, fold, r, id, days): one row per block of title and head that has a gram, and per stretch of dates; vectors with few grams have none."""
+    items = []
+    for k, (name, longs, blocks) in enumerate((TITLE, HEAD)):
         at = [F.get(F.col(name), F.lit(i)) for i in range(longs)]
         fold_ = at[0]
         for x in at[1:]:
@@ -200,23 +202,27 @@ def block_keys(rows: DataFrame, stretches: Column) -> DataFrame:
             for x in part[1:]:
                 some = some.bitwiseOR(x)
             items.append(F.when((some != 0) & (size > blocks), F.struct(F.xxhash64(F.lit(k), F.lit(b), *part).alias("k"), fold_.alias("fold"), F.lit(blocks - 1).alias("r"))))
-            if name != PEOPLE[0]:
-                gaps.append(F.when((some == 0) & (size > blocks), F.struct(F.lit(100 * k + b).alias("g"), fold_.alias("fold"), F.lit(blocks - 1).alias("r"))))
-    blocks_ = F.array_compact(F.array(*items))
-    empty_ = F.flatten(F.transform(F.array_compact(F.array(*gaps)), lambda g: F.transform("people", lambda p: F.struct(F.xxhash64(F.lit(10), g["g"], p).alias("k"), g["fold"].alias("fold"), g["r"].alias("r")))))
-    small = sum((F.bit_count(F.get(F.col(TITLE[0]), F.lit(i))) for i in range(TITLE[1])), F.lit(0)) <= TITLE[2]
-    whole = F.when(
-        small & (F.size("words") > 0),
-        F.transform("people", lambda p: F.struct(F.xxhash64(F.lit(9), F.array_join("words", " "), p).alias("k"), F.lit(0).cast("long").alias("fold"), F.lit(0).alias("r"))),
-    )
-    none = F.array().cast(blocks_type())
-    every = F.concat(blocks_, F.coalesce(empty_, none), F.coalesce(whole, none))
-    x = rows.withColumn("_x", F.explode(every)).withColumn("_s", F.explode(stretches))
-    return x.select(F.xxhash64("_x.k", "_s").alias("key"), F.col("_x.fold").alias("fold"), F.col("_x.r").alias("r"), "id")
+    x = rows.withColumn("_x", F.explode(F.array_compact(F.array(*items)))).withColumn("_s", F.explode(stretches(by)))
+    return x.select(F.xxhash64("_x.k", "_s").alias("key"), F.col("_x.fold").alias("fold"), F.col("_x.r").alias("r"), "id", "days")
+
+
+def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in batches:
+        yield df[[_slipped(a, b) for a, b in zip(df["name"], df["other"], strict=True)]]
 
 
-def blocks_type() -> str:
-    return "array<struct<k:bigint,fold:bigint,r:int>>"
+def name_slips(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, other): pairs of a surname of ``asked`` and another of ``known`` that are one but for a slip.
+
+    Surnames one edit apart are equal once at most one letter of each is left out; those of one sound are equal by it.
+    """
+    sound = F.col("name")
+    for a, b in SOUNDS:
+        sound = F.replace(sound, F.lit(a), F.lit(b))
+    less = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substring("name", i + 1, F.length("name"))))
+    keyed = lambda df: df.where("length(name) > 4").distinct().select("name", F.explode(F.array_distinct(F.concat(F.array("name", F.concat(F.lit("~"), sound)), less))).alias("key"))
+    near = keyed(asked).join(keyed(known).withColumnRenamed("name", "other"), "key").where("name <> other").select("name", "other").distinct()
+    return near.mapInPandas(_slips, "name string, other string")
 
 
 def dice(a: str, b: str, longs: int) -> Column:
@@ -243,27 +249,60 @@ def empty(name: str, longs: int) -> Column:
     return sum((F.bit_count(F.get(F.col(name), F.lit(i))) for i in range(longs)), F.lit(0)) == 0
 
 
-def candidates(records: DataFrame, works: DataFrame) -> DataFrame:
-    """Distinct (record_id, work_id, same_doi) that are close in a vector and, where both are dated, in time, or that share a DOI."""
-    span = 2 * NEAR_DAYS
-    own = F.array_distinct(F.transform("days", lambda d: F.floor(d / span).cast("int")))
-    near = F.array_distinct(F.flatten(F.transform("days", lambda d: F.sequence(F.floor((d - NEAR_DAYS) / span).cast("int"), F.floor((d + NEAR_DAYS) / span).cast("int")))))
+def apart(a: str, b: str) -> Column:
+    """Days between the nearest dates of two rows; null if one has none."""
+    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y)))))
+
+
+def near_titles(a: str, b: str) -> Column:
+    """Whether two title vectors may be of one title, whole or cut."""
+    return (dice(a, b, TITLE[1]) >= 0.5) | (contained(a, b, TITLE[1]) >= 0.7)
 
-    def meet(r: DataFrame, w: DataFrame) -> DataFrame:
-        return (
-            r.withColumnsRenamed({"id": "record_id", "fold": "rf", "r": "rr"})
-            .join(w.withColumnsRenamed({"id": "work_id", "fold": "wf"}).drop("r"), "key")
-            .where(F.bit_count(F.col("rf").bitwiseXOR(F.col("wf"))) <= F.col("rr"))
-            .select("record_id", "work_id")
-        )
 
-    close = meet(block_keys(records, near), block_keys(works, own))
+def named_pairs(records: DataFrame, works: DataFrame) -> DataFrame:
+    """(record_id, work_id) that have a surname in common, but for a slip, near titles and, where both are dated, near dates; a pair may come several times."""
+    people = lambda df: df.select("id", "days", TITLE[0], F.explode("people").alias("name"))
+    asked, known = people(records), people(works)
+    slips = name_slips(asked.select("name"), known.select("name")).groupBy("name").agg(F.collect_list("other").alias("others"))
+    every = F.explode(F.concat(F.array("name"), F.coalesce("others", F.array().cast("array<string>"))))
+    asked = asked.join(slips, "name", "left").select(F.col("id").alias("record_id"), "days", F.col(TITLE[0]).alias("r_title"), every.alias("name"))
+    known = known.select(F.col("id").alias("work_id"), F.col("days").alias("w_days"), F.col(TITLE[0]).alias("w_title"), "name", "days")
+
+    def meet(r: DataFrame, w: DataFrame, on: list[str]) -> DataFrame:
+        both = r.join(w.drop("days"), on).where(near_titles("r_title", "w_title"))
+        return both.where(F.coalesce(apart("days", "w_days") <= NEAR_DAYS, F.lit(True))).select("record_id", "work_id")
+
+    dated = F.size("days") > 0
+    found = meet(asked.withColumn("stretch", F.explode(stretches(NEAR_DAYS))), known.withColumn("stretch", F.explode(stretches())), ["name", "stretch"])
     # Rows without a date meet all rows of the other side, without stretches.
-    dated, any_time = F.size("days") > 0, F.array(F.lit(-1_000_000))
     if not records.where(~dated).isEmpty():
-        close = close.unionByName(meet(block_keys(records.where(~dated), any_time), block_keys(works, any_time)))
+        found = found.unionByName(meet(asked.where(~dated), known, ["name"]))
     if not works.where(~dated).isEmpty():
-        close = close.unionByName(meet(block_keys(records.where(dated), any_time), block_keys(works.where(~dated), any_time)))
+        found = found.unionByName(meet(asked.where(dated), known.where(~dated), ["name"]))
+    return found
+
+
+def unnamed_pairs(records: DataFrame, works: DataFrame) -> DataFrame:
+    """(record_id, work_id) of which one names nobody, that are close in title or head and in time; a pair may come several times."""
+
+    def meet(r: DataFrame, w: DataFrame) -> DataFrame:
+        return (
+            block_keys(r, NEAR_DAYS).withColumnsRenamed({"id": "record_id", "fold": "rf", "r": "rr"})
+            .join(block_keys(w).withColumnsRenamed({"id": "work_id", "fold": "wf", "days": "w_days"}).drop("r"), "key")
+            .where((F.bit_count(F.col("rf").bitwiseXOR(F.col("wf"))) <= F.col("rr")) & (apart("days", "w_days") <= NEAR_DAYS))
+            .select("record_id", "work_id")
+        )
+
+    nobody, found = F.size("people") == 0, None
+    for r, w in ((records.where(nobody), works), (records.where(~nobody), works.where(nobody))):
+        if not (r if w is works else w).isEmpty():
+            found = meet(r, w) if found is None else found.unionByName(meet(r, w))
+    return records.sparkSession.createDataFrame([], "record_id bigint, work_id bigint") if found is None else found
+
+
+def candidates(records: DataFrame, works: DataFrame) -> DataFrame:
+    """Distinct (record_id, work_id, same_doi) that have a surname in common or are close in a vector, and are near in time where both are dated, or that share a DOI."""
+    close = named_pairs(records, works).unionByName(unnamed_pairs(records, works))
     by_doi = (
         records.select(F.col("id").alias("record_id"), F.explode("doi").alias("doi"))
         .join(works.select(F.col("id").alias("work_id"), F.explode("doi").alias("doi")), "doi")
@@ -282,7 +321,7 @@ def scored(records: DataFrame, works: DataFrame) -> DataFrame:
     bits = ["days", TITLE[0], PEOPLE[0]]
     side = lambda df, key, letter, names: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{letter}_{c}") for c in names])
     pairs = candidates(records, works).join(side(records, "record_id", "r", bits), "record_id").join(side(works, "work_id", "w", bits), "work_id")
-    days = F.array_min(F.flatten(F.transform("r_days", lambda x: F.transform("w_days", lambda y: F.abs(x - y)))))
+    days = apart("r_days", "w_days")
     unnamed = empty(f"r_{PEOPLE[0]}", PEOPLE[1]) | empty(f"w_{PEOPLE[0]}", PEOPLE[1])
     folk = lambda score: F.when(unnamed, F.lit(UNNAMED)).otherwise(score)
     near = pairs.select(
@@ -429,6 +468,11 @@ def _numbered(words: list[str]) -> bool:
     return bool(words) and (words[0] in {"part", "ii", "iii", "iv", "follow", "continued", "erratum", "correction", "comment", "reply"} or len(words) > 4)
 
 
+def _slipped(a: str, b: str) -> bool:
+    """Whether two different surnames are one but for a slip."""
+    return min(len(a), len(b)) > 4 and slip_kind(a, b) > 0
+
+
 def _same_people(a: list[str], b: list[str]) -> float:
     """Share of the shorter list that the other holds, but for slips."""
     if not len(a) or not len(b):
@@ -437,7 +481,7 @@ def _same_people(a: list[str], b: list[str]) -> float:
     left = set(long_)
     hit = 0
     for s in short:
-        t = s if s in left else next((x for x in left if min(len(s), len(x)) > 4 and slip_kind(s, x)), None)
+        t = s if s in left else next((x for x in left if _slipped(s, x)), None)
         if t is not None:
             left.discard(t)
             hit += 1

@@ -84,3 +84,17 @@ def test_matches_without_names(spark):
     got = {r.record_id: (r.work_id, r.confidence) for r in em.matches(spark.createDataFrame(records, schema), spark.createDataFrame(works, schema)).collect()}
     assert {k: v[0] for k, v in got.items()} == {10: 1, 11: 2, 13: 5, 16: 1, 17: 5}
     assert got[13][1] < got[17][1]
+
+
+def test_candidates_need_a_surname(spark):
+    """Titles of one pattern do not meet each other: only rows with a surname in common, but for a slip, do."""
+    schema = "id bigint, title string, authors array<string>, days array<int>, doi array<string>"
+    name = lambda i: f"{2 * 'abcdefgh'[i % 8]}x{2 * 'klmnopqr'[i // 8]}urov"
+    works = [(i, "A twin design reveals growth-related wound closure in thymic stroma", [f"{name(i)}, Ann"], [10], []) for i in range(60)]
+    slip = "".join([name(7)[:4], name(7)[5:]])
+    records = [(100, works[0][1], [f"{slip}, Ann"], [20], []), (101, works[0][1], ["Ann " + name(9)], [], []), (102, works[0][1], ["Ann Else"], [20], []), (103, works[0][1], ["Ann " + name(9)], [100], [])]
+    r, w = em.encoded(spark.createDataFrame(records, schema)), em.encoded(spark.createDataFrame(works, schema))
+    assert {(x.record_id, x.work_id) for x in em.candidates(r, w).collect()} == {(100, 7), (101, 9)}
+    named = lambda names: spark.createDataFrame([(x,) for x in names], "name string")
+    got = {tuple(x) for x in em.name_slips(named(["stofan", "smith", "moore", "abc"]), named(["stophan", "smtih", "smiths", "smyth", "smythe", "mure", "smith", "abd", "moora"])).collect()}
+    assert got == {("stofan", "stophan"), ("smith", "smtih"), ("smith", "smiths"), ("smith", "smyth"), ("moore", "moora")}
