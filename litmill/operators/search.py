@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.operators.latest import top_per_key
+from litmill.operators.ranking import BLOCK, best_by_words, hashed
 
 # Words that no text search looks for, and the weights of title and abstract.
 STOPPED = [
@@ -14,6 +15,8 @@ STOPPED = [
     "these", "they", "this", "those", "through", "to", "under", "up", "was", "we", "were", "what", "when", "where", "which", "while", "who", "why", "will", "with", "would",
 ]
 TITLE_WEIGHT, ABSTRACT_WEIGHT = 0.7, 0.3
+#: Units of one in which ranks and scores are added up.
+RANK_UNITS, SCORE_UNITS = 10.0, 1_000_000.0
 
 
 def by_condition(
@@ -58,3 +61,21 @@ def weighted_rank(papers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(search_words(F.col("query")))).alias("word"))
     hits = asked.join(index, "word").groupBy("query_id", "paper_id").agg(F.round(F.sum("w"), 4).alias("rank"))
     return top_per_key(hits, ["query_id"], [F.desc("rank"), F.asc("paper_id")], k)
+
+
+def okapi_rank(texts: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, paper_id, score): the ``k`` best texts (id, words array<string>) for the words of each query (query_id, words array<string>) by Okapi weights.
+
+    Texts without words do not count. Scores are rounded to six digits, ties go to the smallest id.
+    """
+    texts = texts.select("id", hashed(F.col("words")).alias("words")).where("size(words) > 0")
+    total = texts.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    n, mean = total[0], total[1] or 1.0
+    # Texts that have each word; the words of one query come in a fixed order.
+    df = texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = queries.select("query_id", F.explode(F.array_distinct(hashed(F.col("words")))).alias("word")).join(df, "word")
+    asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("word", (idf * 2.2 * SCORE_UNITS).alias("weight")))).alias("x"))
+    asked = asked.select("query_id", F.col("x.word").alias("words"), F.col("x.weight").alias("weights"))
+    found = best_by_words(texts, asked, k, {"words": 1}, lambda tf, words: tf / (tf + 1.2 * (0.25 + 0.75 * words / mean)), block)
+    return found.select("query_id", F.col("id").alias("paper_id"), (F.col("units") / SCORE_UNITS).alias("score"))

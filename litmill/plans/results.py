@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litmill.operators.latest import top_per_key
 from litmill.operators.nearest import nearest
 from litmill.operators.payloads import embed, fan_out, notice, result_rows
-from litmill.operators.search import search_words
+from litmill.operators.search import okapi_rank, search_words
 from litmill.plans.records import _many_sql
 from litmill.plans.retrieval import _SEARCHED, understand_queries
 from litmill.session import table
@@ -83,17 +83,9 @@ def query_notices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_text_search(spark: SparkSession, d: str) -> DataFrame:
-    """Okapi ranking of titles for the words of every fiftieth paper's title: a word index without stop words, so only papers with a common word meet a query."""
-    p = table(spark, d, "papers").select("paper_id", search_words(F.col("canonical_title")).alias("w")).where("size(w) > 0")
-    tf = p.select("paper_id", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("paper_id", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    total = p.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
-    n, mean = total[0], total[1] or 1.0
-    q = p.where("paper_id % 50 = 0").select(F.col("paper_id").alias("query_id"), F.explode(F.array_distinct("w")).alias("word"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(mean)))
-    hits = q.join(df, "word").join(tf, "word").groupBy("query_id", "paper_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_per_key(hits, ["query_id"], [F.desc("score"), F.asc("paper_id")], 10)
+    """Okapi ranking of titles for the words of every fiftieth paper's title, stop words left out, so only papers with a common word meet a query."""
+    p = table(spark, d, "papers").select(F.col("paper_id").alias("id"), search_words(F.col("canonical_title")).alias("words"))
+    return okapi_rank(p, p.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 10)
 
 
 _WORDS = _SEARCHED("canonical_title")
