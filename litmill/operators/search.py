@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litmill.operators.latest import top_per_key
 from litmill.operators.ranking import BLOCK, best_by_words, hashed
 
 # Words that no text search looks for, and the weights of title and abstract.
@@ -54,13 +53,14 @@ def search_words(c: Column) -> Column:
 def weighted_rank(papers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, paper_id, rank): the ``k`` best papers by how often they hold a query's words, the title's counting 0.7 and the abstract's 0.3.
 
-    A word index, so only papers with a common word meet a query. Ties go to the smallest id.
+    Only papers with a common word meet a query. Ties go to the smallest id.
     """
-    each = lambda c, w: papers.select("paper_id", F.explode(search_words(F.col(c))).alias("word"), F.lit(w).alias("w"))
-    index = each("canonical_title", TITLE_WEIGHT).unionByName(each("canonical_abstract", ABSTRACT_WEIGHT)).groupBy("word", "paper_id").agg(F.sum("w").alias("w"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(search_words(F.col("query")))).alias("word"))
-    hits = asked.join(index, "word").groupBy("query_id", "paper_id").agg(F.round(F.sum("w"), 4).alias("rank"))
-    return top_per_key(hits, ["query_id"], [F.desc("rank"), F.asc("paper_id")], k)
+    texts = papers.select(F.col("paper_id").alias("id"), hashed(search_words(F.col("canonical_title"))).alias("title"), hashed(search_words(F.col("canonical_abstract"))).alias("abstract"))
+    words = F.array_distinct(hashed(search_words(F.col("query"))))
+    asked = queries.select("query_id", words.alias("words"), F.transform(words, lambda w: F.lit(1.0)).alias("weights"))
+    title, abstract = round(TITLE_WEIGHT * RANK_UNITS), round(ABSTRACT_WEIGHT * RANK_UNITS)
+    found = best_by_words(texts, asked, k, {"title": title, "abstract": abstract})
+    return found.select("query_id", F.col("id").alias("paper_id"), (F.col("units") / RANK_UNITS).alias("rank"))
 
 
 def okapi_rank(texts: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:

@@ -44,6 +44,10 @@ def test_common_words_meet_no_join(spark, monkeypatch):
             found += [(q, i, -s) for s, i in hits[:7]]
         return sorted(found)
 
+    ranked = weighted_rank(papers, queries, 7)
+    assert "Join" not in ranked._jdf.queryExecution().executedPlan().toString()
+    want = best(lambda q, a, b: round(sum(0.7 * a.count(w) + 0.3 * b.count(w) for w in q), 4) or None)
+    assert sorted(map(tuple, ranked.collect())) == want
     monkeypatch.setattr(ranking, "TOGETHER", 2)
     monkeypatch.setattr(ranking, "CHUNK", 16)
     texts, split_queries = papers.select(F.col("paper_id").alias("id"), search_words(F.col("canonical_title")).alias("words")), queries.select("query_id", search_words(F.col("query")).alias("words"))
@@ -52,6 +56,5 @@ def test_common_words_meet_no_join(spark, monkeypatch):
     idf = lambda w: math.log(1 + (len(held) - (n := sum(w in a for a in held)) + 0.5) / (n + 0.5))
     okapi = lambda q, a, _: round(sum(idf(w) * (f := a.count(w)) * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(a) / mean)) for w in q), 6) if q & set(a) else None
     got = okapi_rank(texts, split_queries, 7, block=3)
-    assert "Join [word" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == best(okapi)
-    assert okapi_rank(texts.where("id < 0"), split_queries, 7).count() == 0
+    assert okapi_rank(texts.where("id < 0"), split_queries, 7).count() == 0 and weighted_rank(papers, queries.where("query_id < 0"), 7).count() == 0
