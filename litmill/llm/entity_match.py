@@ -35,8 +35,6 @@ TITLE, HEAD, PEOPLE = ("title_bits", 4, 12), ("head_bits", 2, 6), ("people_bits"
 HEAD_LETTERS = 26
 #: A pair's dates lie within so many days; dates are keyed by stretches twice as long.
 NEAR_DAYS = 60
-#: Pairs used to fit the confidence.
-FIT_PAIRS = 20_000
 CONFIDENT = 0.5
 #: What an equal DOI adds to the log of the odds.
 DOI_ODDS = 4.0
@@ -350,16 +348,31 @@ def _inputs(df: pd.DataFrame) -> np.ndarray:
 PRIOR, FIRM = np.array([1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 10.0, -0.5, -7.0]), 20.0
 
 
-def calibrate(pairs: pd.DataFrame) -> np.ndarray:
-    """Logistic weights of the fields from pairs with a label (DOI decides), drawn towards PRIOR."""
-    w = PRIOR.copy()
-    if not len(pairs):
+def _sums(weights: np.ndarray):
+    """For batches of labelled pairs: the gradient and the curvature of their log-likelihood, as one row of numbers for each task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = len(weights)
+        total = np.zeros(n + n * n)
+        for df in batches:
+            x, y = _inputs(df), df["label"].to_numpy(dtype=float)
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            total += np.concatenate([x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+        yield pd.DataFrame({"k": np.arange(len(total)), "x": total})
+
+    return run
+
+
+def calibrate(pairs: DataFrame) -> np.ndarray:
+    """Logistic weights of the fields from all pairs with a label (DOI decides), drawn towards PRIOR. Tasks add up their pairs; only sums come to the driver."""
+    w, n = PRIOR.copy(), len(PRIOR)
+    rows = settle(pairs.select(*FIELDS, "days", "label"))
+    if rows.isEmpty():
         return w
-    x, y = _inputs(pairs), pairs["label"].to_numpy(dtype=float)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + FIRM * (w - PRIOR)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(np.full(len(w), FIRM))
+        sums = rows.mapInPandas(_sums(w), "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).toPandas().sort_values("k")["x"].to_numpy()
+        g = sums[:n] + FIRM * (w - PRIOR)
+        h = sums[n:].reshape(n, n) + np.diag(np.full(n, FIRM))
         step = np.linalg.solve(h, g)
         w = w - np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
@@ -520,11 +533,6 @@ def labelled(pairs: DataFrame) -> DataFrame:
     return named.join(decided, "record_id", "left_semi").where("not same_doi or title >= 0.5 or inside >= 0.7").withColumn("label", F.col("same_doi").cast("int"))
 
 
-def _sample(pairs: DataFrame) -> pd.DataFrame:
-    """A bounded sample of labelled pairs, without the odds of the DOI."""
-    return pairs.orderBy(F.xxhash64("record_id", "work_id")).limit(FIT_PAIRS).select("record_id", *FIELDS, "days", "label").toPandas()
-
-
 def rivalled(judged: DataFrame, records: DataFrame, works: DataFrame) -> DataFrame:
     """(record_id, work_id) of pairs that hold by title and date alone, though another work fits the record or has the title at that time."""
     bare = judged.where("unnamed and not same_doi").select("record_id", "work_id")
@@ -552,7 +560,7 @@ def matches(records: DataFrame, works: DataFrame) -> DataFrame:
     """
     r, w = settle(encoded(spread(records))), settle(encoded(spread(works)))
     pairs = compared(r, w)
-    weights = calibrate(_sample(labelled(pairs)))
+    weights = calibrate(labelled(pairs))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -567,16 +575,19 @@ def matches(records: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def reliability(records: DataFrame, works: DataFrame, bins: int = 5) -> DataFrame:
-    """(bin, pairs, confidence, true_share): how the confidence without the DOI's odds agrees with what the DOI says, on half of the decided records, fitted on the other half."""
+    """(bin, pairs, confidence, true_share): how the confidence without the DOI's odds agrees with what the DOI says, on all pairs of half of the decided records, fitted on all of the other half."""
     r, w = settle(encoded(spread(records))), settle(encoded(spread(works)))
-    sample = _sample(labelled(compared(r, w)))
-    held = sample["record_id"].map(lambda i: (int(i) * 2654435761 >> 7) % 2 == 0).to_numpy(dtype=bool)
-    weights = calibrate(sample[~held])
-    test = sample[held].assign(same_doi=False)
-    p = confidence(test, weights) if len(test) else np.zeros(0)
-    out = pd.DataFrame({"bin": np.minimum((p * bins).astype(int), bins - 1), "p": p, "y": test["label"].to_numpy(dtype=float)})
-    rows = [(int(k), len(g), round(float(g["p"].mean()), 4), round(float(g["y"].mean()), 4)) for k, g in out.groupby("bin")]
-    return records.sparkSession.createDataFrame(rows, "bin int, pairs bigint, confidence double, true_share double")
+    pairs = settle(labelled(compared(r, w)))
+    held = F.pmod(F.xxhash64("record_id"), F.lit(2)) == 0
+    weights = calibrate(pairs.where(~held))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            p = confidence(df.assign(same_doi=False), weights)
+            yield pd.DataFrame({"bin": np.minimum((p * bins).astype(int), bins - 1), "p": p, "y": df["label"].to_numpy(dtype=float)})
+
+    judged = pairs.where(held).mapInPandas(judge, "bin int, p double, y double")
+    return judged.groupBy("bin").agg(F.count("*").alias("pairs"), F.round(F.avg("p"), 4).alias("confidence"), F.round(F.avg("y"), 4).alias("true_share"))
 
 
 def record_rows(citations: DataFrame) -> DataFrame:

@@ -98,3 +98,25 @@ def test_candidates_need_a_surname(spark):
     named = lambda names: spark.createDataFrame([(x,) for x in names], "name string")
     got = {tuple(x) for x in em.name_slips(named(["stofan", "smith", "moore", "abc"]), named(["stophan", "smtih", "smiths", "smyth", "smythe", "mure", "smith", "abd", "moora"])).collect()}
     assert got == {("stofan", "stophan"), ("smith", "smtih"), ("smith", "smiths"), ("smith", "smyth"), ("moore", "moora")}
+
+
+def test_fit_and_reliability_use_all_pairs(spark, monkeypatch):
+    """Weights and counts come from every decided pair, however many there are and whatever their tasks."""
+    import numpy as np
+    import pandas as pd
+
+    n = 30_000
+    rng = np.random.default_rng(1)
+    good = rng.random(n) < 0.5
+    df = pd.DataFrame({c: np.where(good, rng.random(n) * 0.5 + 0.5, rng.random(n) * 0.7) for c in em.FIELDS})
+    df = df.assign(record_id=np.arange(n), days=rng.integers(0, 60, n), label=good.astype(int), same_doi=good)
+    pairs = spark.createDataFrame(df)
+    gradient = next(em._sums(em.calibrate(pairs.repartition(3)))([df]))["x"].to_numpy()[: len(em.PRIOR)]
+    assert np.abs(gradient + em.FIRM * (em.calibrate(pairs) - em.PRIOR)).max() < 1e-3
+    monkeypatch.setattr(em, "encoded", lambda x: x)
+    monkeypatch.setattr(em, "compared", lambda *_: pairs)
+    monkeypatch.setattr(em, "labelled", lambda x: x)
+    got = em.reliability(spark.range(1), spark.range(1)).collect()
+    held = pairs.where("pmod(xxhash64(record_id), 2) = 0").count()
+    assert sum(r.pairs for r in got) == held > 14_000 and abs(sum(r.pairs * r.true_share for r in got) / held - 0.5) < 0.02
+    assert em.calibrate(pairs.where("false")).tolist() == em.PRIOR.tolist()
